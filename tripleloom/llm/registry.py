@@ -24,9 +24,39 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tripleloom.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), with_text=False)
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, i, array_to_string(words[i : i + 12], ' ') AS seq
+  FROM d, unnest(range(1, len(words) - 11)) AS t(i)
+  WHERE len(words) >= 13
+), f AS (
+  SELECT seq, min(doc_id) AS first_doc FROM w GROUP BY seq HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT w.doc_id, k
+  FROM w JOIN f ON w.seq = f.seq AND w.doc_id > f.first_doc, unnest(range(w.i, w.i + 13)) AS t(k)
+), kept AS (
+  SELECT d.doc_id, count(g.k) AS n_removed, string_agg(d.word, ' ' ORDER BY d.pos) FILTER (WHERE g.k IS NULL) AS text
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d) AS d
+  LEFT JOIN gone AS g ON g.doc_id = d.doc_id AND g.k = d.pos
+  GROUP BY d.doc_id
+)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept AS k ON k.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_packing": op5_packing, "op9_token_counts": op9_token_counts}
+    return {"op10_substring_dedup": op10_substring_dedup, "op5_packing": op5_packing, "op9_token_counts": op9_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_substring_dedup": OP10_SQL}
