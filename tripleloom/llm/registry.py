@@ -18,6 +18,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tripleloom.llm.simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tripleloom.llm.token_counts import token_counts
 
@@ -55,7 +61,7 @@ FROM d LEFT JOIN kept AS k ON k.doc_id = d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_substring_dedup": op10_substring_dedup, "op5_packing": op5_packing, "op9_token_counts": op9_token_counts}
+    return {"op10_substring_dedup": op10_substring_dedup, "op8_simhash": op8_simhash, "op5_packing": op5_packing, "op9_token_counts": op9_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
