@@ -12,6 +12,12 @@ from tripleloom.llm._session import documents
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tripleloom.llm.fingerprints import edited_copies
+
+    return edited_copies(documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tripleloom.llm.packing import pack
 
@@ -61,8 +67,8 @@ FROM d LEFT JOIN kept AS k ON k.doc_id = d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_substring_dedup": op10_substring_dedup, "op8_simhash": op8_simhash, "op5_packing": op5_packing, "op9_token_counts": op9_token_counts}
+    return {"op1_fingerprints": op1_fingerprints, "op10_substring_dedup": op10_substring_dedup, "op8_simhash": op8_simhash, "op5_packing": op5_packing, "op9_token_counts": op9_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_substring_dedup": OP10_SQL}
+    return {"op1_fingerprints": op1_fingerprints, "op10_substring_dedup": OP10_SQL}
