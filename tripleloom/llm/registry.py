@@ -18,6 +18,36 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_copies(documents(spark, sf_dir))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tripleloom.llm.line_dedup import line_report
+
+    return line_report(documents(spark, sf_dir))
+
+
+#: Cleaned texts of a table ``{docs}``; also a stage of the pipeline's SQL.
+LINES_SQL = r"""
+SELECT d.doc_id, d.source, i - 1 AS pos, d.lines[i] AS line, trim(d.lines[i], E' \t\r\f\x0B') AS bare
+FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM {docs}) AS d, unnest(range(1, len(d.lines) + 1)) AS t(i)
+"""
+OP2_SQL = f"""
+WITH lines AS ({LINES_SQL.format(docs="documents")}),
+spread AS (
+  SELECT bare, min((doc_id, pos)) AS first FROM lines WHERE length(bare) >= 16
+  GROUP BY bare HAVING count(DISTINCT source) >= 10
+), marked AS (
+  SELECT l.*, (s.bare IS NOT NULL AND (l.doc_id, l.pos) <> s.first) AS gone
+  FROM lines AS l LEFT JOIN spread AS s ON s.bare = l.bare
+), kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+         string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS text
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents AS d LEFT JOIN kept AS k ON k.doc_id = d.doc_id
+"""
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tripleloom.llm.packing import pack
 
@@ -67,8 +97,18 @@ FROM d LEFT JOIN kept AS k ON k.doc_id = d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op10_substring_dedup": op10_substring_dedup, "op8_simhash": op8_simhash, "op5_packing": op5_packing, "op9_token_counts": op9_token_counts}
+    return {
+        "op1_fingerprints": op1_fingerprints,
+        "op2_line_dedup": op2_line_dedup,
+        "op5_packing": op5_packing,
+        "op8_simhash": op8_simhash,
+        "op9_token_counts": op9_token_counts,
+        "op10_substring_dedup": op10_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_fingerprints": op1_fingerprints, "op10_substring_dedup": OP10_SQL}
+    return {
+        "op2_line_dedup": OP2_SQL,
+        "op10_substring_dedup": OP10_SQL,
+    }
