@@ -141,7 +141,7 @@ def repeats_in(rows: list[dict], width: int) -> tuple[np.ndarray, ...]:
     return doc[r], version[r], base + starts[begin], base + starts[last] + width
 
 
-def removed_words(docs: DataFrame, width: int = 13, minimiser: int = 4, slice_bytes: int = 4 * SLICE_BYTES, group_bytes: int = 2 * SLICE_BYTES, buckets_per_partition: int = 16) -> DataFrame:
+def removed_words(docs: DataFrame, width: int = 13, minimiser: int = 4, slice_bytes: int = SLICE_BYTES, group_bytes: int = SLICE_BYTES, buckets_per_partition: int = 16) -> DataFrame:
     """doc_id, version, first, end: runs of words that a smaller doc_id also has.
 
     ``version`` is a hash of the text that tells rows of one doc_id apart.
