@@ -54,6 +54,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tripleloom.llm.quality import classify
+
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tripleloom.llm.simhash import near_duplicates
 
@@ -101,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_fingerprints": op1_fingerprints,
         "op2_line_dedup": op2_line_dedup,
         "op5_packing": op5_packing,
+        "op7_quality": op7_quality,
         "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
         "op10_substring_dedup": op10_substring_dedup,
