@@ -54,6 +54,31 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tripleloom.llm.decontaminate import find_leaks
+
+    return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP6_SQL = r"""
+WITH t AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), w AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM t
+), s AS (
+  SELECT DISTINCT kind, id, array_to_string(words[i : i + 4], ' ') AS shingle
+  FROM w, unnest(range(1, len(words) - 3)) AS u(i) WHERE len(words) >= 5
+), sizes AS (
+  SELECT id AS item_id, count(*) AS n_shingles FROM s WHERE kind = 'b' GROUP BY id
+), shared AS (
+  SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared
+  FROM s AS b JOIN s AS d ON b.shingle = d.shingle AND b.kind = 'b' AND d.kind = 'd' GROUP BY d.id, b.id
+)
+SELECT doc_id, item_id, n_shared, n_shingles, CAST(n_shared AS DOUBLE) / n_shingles AS containment
+FROM shared JOIN sizes USING (item_id) WHERE n_shared >= 0.8 * n_shingles
+"""
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tripleloom.llm.quality import classify
 
@@ -107,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_fingerprints": op1_fingerprints,
         "op2_line_dedup": op2_line_dedup,
         "op5_packing": op5_packing,
+        "op6_decontamination": op6_decontamination,
         "op7_quality": op7_quality,
         "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
@@ -117,5 +143,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": OP2_SQL,
+        "op6_decontamination": OP6_SQL,
         "op10_substring_dedup": OP10_SQL,
     }
