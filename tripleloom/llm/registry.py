@@ -48,6 +48,12 @@ FROM documents AS d LEFT JOIN kept AS k ON k.doc_id = d.doc_id
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tripleloom.llm.license_scan import license_report
+
+    return license_report(documents(spark, sf_dir))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tripleloom.llm.language_id import identify
 
@@ -137,6 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_line_dedup": op2_line_dedup,
+        "op3_license_scan": op3_license_scan,
         "op4_language_id": op4_language_id,
         "op5_packing": op5_packing,
         "op6_decontamination": op6_decontamination,
