@@ -7,15 +7,18 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` where every executor can read it back.
-
-    The cluster names the folder in ``spark.checkpoint.dir``; a private one is
-    made only where that is unset, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named in ``spark.checkpoint.dir``; a private one only where that is unset, as in tests."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named is None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tripleloom-checkpoint-"))
+    return named or sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` where every executor can read it back."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

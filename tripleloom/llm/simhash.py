@@ -275,3 +275,12 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, seed: int = 42
     joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     named = joined.join(joined.groupBy("root").agg(F.min("first_doc").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, radius: int = 7, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicates, unchanged.
+
+    Rows that repeat a doc_id are one document and stay or go together.
+    """
+    kept = near_duplicates(docs, k, radius, seed).select(F.col("component_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
