@@ -1,0 +1,180 @@
+"""Join-order search over a pluggable cost.
+
+A cost maps a left-deep prefix (a tuple of pattern numbers) to a number; the cost
+of an order is that of the whole tuple. ``additive(cards)`` gives the true cost
+from the sizes of sets of patterns. Every strategy is
+``search(n, cost, **options) -> (order, cost)``; ties go to the first order.
+
+One query's search is small and bound by the processor; many queries are spread
+by ``search_all``, one group a query.
+"""
+
+from __future__ import annotations
+
+import random
+from collections.abc import Callable, Sequence
+from itertools import permutations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+Cost = Callable[[tuple[int, ...]], float]
+
+
+def additive(cards: dict[int, float]) -> Cost:
+    """Sum of the sizes of a prefix's joins; a set of unknown size costs infinity."""
+
+    def cost(order: tuple[int, ...]) -> float:
+        mask, total = 0, 0.0
+        for k, i in enumerate(order):
+            mask |= 1 << i
+            if k:
+                total += cards.get(mask, float("inf"))
+        return total
+
+    return cost
+
+
+def exhaustive(n: int, cost: Cost) -> tuple[list[int], float]:
+    order = min(permutations(range(n)), key=lambda o: (cost(o), o))
+    return list(order), cost(order)
+
+
+def dynamic(n: int, cost: Cost) -> tuple[list[int], float]:
+    """The cheapest order of each set of patterns from those of its subsets; exact if the cost is additive."""
+    best: dict[int, tuple[float, tuple[int, ...]]] = {1 << i: (cost((i,)), (i,)) for i in range(n)}
+    for mask in range(1, 1 << n):
+        if mask in best:
+            continue
+        found = None
+        for i in range(n):
+            if mask >> i & 1:
+                order = (*best[mask ^ (1 << i)][1], i)
+                if found is None or (cost(order), order) < found:
+                    found = (cost(order), order)
+        best[mask] = found
+    value, order = best[(1 << n) - 1]
+    return list(order), value
+
+
+def greedy(n: int, cost: Cost) -> tuple[list[int], float]:
+    """The cheapest pair, then always the cheapest extension."""
+    if n == 1:
+        return [0], cost((0,))
+    order = min(((i, j) for i in range(n) for j in range(i + 1, n)), key=lambda o: (cost(o), o))
+    while len(order) < n:
+        order = min(((*order, i) for i in range(n) if i not in order), key=lambda o: (cost(o), o))
+    return list(order), cost(order)
+
+
+def beam(n: int, cost: Cost, width: int = 6) -> tuple[list[int], float]:
+    states = [(i,) for i in range(n)]
+    for _ in range(n - 1):
+        states = sorted(((*s, i) for s in states for i in range(n) if i not in s), key=lambda o: (cost(o), o))[:width]
+    return list(states[0]), cost(states[0])
+
+
+def improve(n: int, cost: Cost, budget: int = 500, seed: int = 0) -> tuple[list[int], float]:
+    """Steepest descent over swaps of two patterns, from a random order, until nothing improves or the budget is spent."""
+    order = list(range(n))
+    random.Random(seed).shuffle(order)
+    value = cost(tuple(order))
+    while budget > 0:
+        around = []
+        for i in range(n):
+            for j in range(i + 1, n):
+                if budget <= 0:
+                    break
+                swapped = order.copy()
+                swapped[i], swapped[j] = swapped[j], swapped[i]
+                around.append((cost(tuple(swapped)), swapped))
+                budget -= 1
+        if not around or min(around)[0] >= value:
+            break
+        value, order = min(around)
+    return order, value
+
+
+def recombined(a: Sequence[int], b: Sequence[int], rng: random.Random) -> list[int]:
+    """Edge recombination: follow neighbours of either parent, those with fewest neighbours left first."""
+    n = len(a)
+    near = {i: set() for i in range(n)}
+    for parent in (a, b):
+        for k, i in enumerate(parent):
+            near[i] |= {parent[k - 1], parent[(k + 1) % n]} - {i}
+    at = rng.choice([a[0], b[0]])
+    child = [at]
+    while len(child) < n:
+        for other in near.values():
+            other.discard(at)
+        pool = sorted(near[at]) or sorted(set(range(n)) - set(child))
+        fewest = min(len(near[i]) for i in pool)
+        at = rng.choice([i for i in pool if len(near[i]) == fewest])
+        child.append(at)
+    return child
+
+
+def order_crossover(a: Sequence[int], b: Sequence[int], rng: random.Random) -> list[int]:
+    """A slice of one parent, the rest in the other's order."""
+    i, j = sorted(rng.sample(range(len(a) + 1), 2))
+    middle = list(a[i:j])
+    rest = [x for x in b if x not in middle]
+    return rest[:i] + middle + rest[i:]
+
+
+def genetic(n: int, cost: Cost, budget: int = 500, population: int = 20, elite: float = 0.05, mutation: float = 0.05, seed: int = 0) -> tuple[list[int], float]:
+    """Genetic search with tournaments of two, edge recombination and swaps."""
+    rng = random.Random(seed)
+    size = max(2, min(population, budget))
+    pool = []
+    for _ in range(size):
+        order = list(range(n))
+        rng.shuffle(order)
+        pool.append((cost(tuple(order)), order))
+    budget -= size
+    pool.sort()
+    keep = max(1, int(elite * size))
+
+    def parent() -> list[int]:
+        return min(rng.sample(pool, 2))[1]
+
+    while budget > 0 and n > 1:
+        young = pool[:keep]
+        while len(young) < size and budget > 0:
+            child = recombined(parent(), parent(), rng)
+            if rng.random() < mutation:
+                i, j = rng.sample(range(n), 2)
+                child[i], child[j] = child[j], child[i]
+            young.append((cost(tuple(child)), child))
+            budget -= 1
+        pool = sorted(young) if len(young) >= 2 else pool
+    return pool[0][1], pool[0][0]
+
+
+def best_random(n: int, cost: Cost, tries: int = 100, seed: int = 0) -> tuple[list[int], float]:
+    rng = random.Random(seed)
+    found = []
+    for _ in range(tries):
+        order = list(range(n))
+        rng.shuffle(order)
+        found.append((cost(tuple(order)), order))
+    value, order = min(found)
+    return order, value
+
+
+METHODS = {"exhaustive": exhaustive, "dynamic": dynamic, "greedy": greedy, "beam": beam, "improve": improve, "genetic": genetic, "random": best_random}
+
+
+def search_all(cards: DataFrame, methods: Sequence[str], **options) -> DataFrame:
+    """query_id, method, ord, cost: the order of each query found by each method.
+
+    ``cards`` has query_id, mask, card: the sizes of one query's sets of patterns.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        known = {int(m): float(c) for m, c in zip(pdf["mask"], pdf["card"], strict=True) if c is not None}
+        n = max(known).bit_length()
+        found = [METHODS[m](n, additive(known), **options.get(m, {})) for m in methods]
+        return pd.DataFrame({"query_id": [key[0]] * len(found), "method": list(methods), "ord": [[int(i) for i in o] for o, _ in found], "cost": [float(c) for _, c in found]})
+
+    return cards.groupBy("query_id").applyInPandas(run, "query_id long, method string, ord array<int>, cost double")
