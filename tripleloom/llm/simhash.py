@@ -109,7 +109,7 @@ def plan_search(sample: np.ndarray, n: int, radius: int, row_cost: float = 500.0
     bits = bits_of(sample) if len(sample) else np.zeros((1, 64), np.uint8)
     half = len(bits) // 2
     best, best_cost = [], float("inf")
-    for m in range(2, radius + 2):
+    for m in range(1, radius + 2):
         groups = correlated_parts(bits.astype(float), m)
         total = radius - m + 1
         # state: thresholds plus one, summed; -1 skips a part
@@ -283,4 +283,4 @@ def one_of_each(docs: DataFrame, k: int = 5, radius: int = 7, seed: int = 42) ->
     Rows that repeat a doc_id are one document and stay or go together.
     """
     kept = near_duplicates(docs, k, radius, seed).select(F.col("component_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
