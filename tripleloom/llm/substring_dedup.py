@@ -33,8 +33,9 @@ from tripleloom.llm._session import shuffle_partitions
 from tripleloom.llm._text import SLICE_BYTES, Words, counts_of, raw, row_slices, shingle_hashes
 
 #: A run that travels, or (settled) words known to be removed.
-RUNS = "bucket int, settled boolean, doc_ids array<long>, versions array<int>, firsts array<int>, ends array<int>, packed binary, packed_bytes int"
+RUNS = "bucket int, settled boolean, runs int, places binary, packed binary, packed_bytes int"
 NAMES = [x.split()[0] for x in RUNS.split(", ")]
+KINDS = (pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.int32())
 REMOVED = "doc_id long, version int, first int, end int"
 
 
@@ -50,8 +51,18 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:n], values[width - span : width - span + n])
 
 
-def list_column(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
+def squeeze(data: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=3).compress(data, asbytes=True)
+
+
+def places_of(doc: np.ndarray, *others: np.ndarray) -> bytes:
+    """doc_ids (as differences) and 32-bit columns of some runs, packed."""
+    return squeeze(b"".join([np.diff(doc, prepend=0).astype("<i8").tobytes(), *(x.astype("<i4").tobytes() for x in others)]))
+
+
+def read_places(packed: pa.Buffer, n: int, others: int) -> list[np.ndarray]:
+    data = pa.decompress(packed, decompressed_size=n * (8 + 4 * others), codec="zstd", asbytes=True)
+    return [np.cumsum(np.frombuffer(data, "<i8", n)), *(np.frombuffer(data, "<i4", n, 8 * n + 4 * n * k) for k in range(others))]
 
 
 def runs_of(batch: pa.RecordBatch, width: int, minimiser: int, buckets: int) -> pa.RecordBatch | None:
@@ -80,37 +91,23 @@ def runs_of(batch: pa.RecordBatch, width: int, minimiser: int, buckets: int) ->
     np.minimum.at(smallest, codes, doc)
     travels = doc == smallest[codes]
     bucket = (least[breaks] % np.uint64(buckets)).astype(np.int64)
-    out = {n: [] for n in NAMES}
-    arrays: dict[str, list[np.ndarray]] = {"doc_ids": [], "versions": [], "firsts": [], "ends": []}
-
-    def add(at: int, chosen: np.ndarray, blob: bytes | None, blob_bytes: int, settled: bool) -> None:
-        out["bucket"].append(at)
-        out["settled"].append(settled)
-        out["packed"].append(blob)
-        out["packed_bytes"].append(blob_bytes)
-        for name, values in (("doc_ids", doc), ("versions", version), ("firsts", first), ("ends", first + end - begin)):
-            arrays[name].append(values[chosen])
-
+    rows = []
     going = np.flatnonzero(travels)
     going = going[np.argsort(bucket[going], kind="stable")]
     cuts = np.flatnonzero(np.diff(bucket[going], prepend=-1, append=-1))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        blob = b"\n".join([packed[i] for i in going[a:b].tolist()])
-        add(int(bucket[going[a]]), going[a:b], pa.compress(blob, codec="zstd", asbytes=True), len(blob), False)
+        some = going[a:b]
+        text = b"\n".join([packed[i] for i in some.tolist()])
+        rows.append((int(bucket[some[0]]), False, len(some), places_of(doc[some], version[some], first[some]), squeeze(text), len(text)))
     if not travels.all():
-        settled = np.flatnonzero(~travels)
-        add(int(bucket[settled[0]]), settled, None, 0, True)
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in arrays["doc_ids"]])])
-    kinds = {"doc_ids": pa.int64(), "versions": pa.int32(), "firsts": pa.int32(), "ends": pa.int32()}
-    cols = [list_column(np.concatenate(arrays[n]), bounds, kinds[n]) if n in arrays else pa.array(out[n], {"bucket": pa.int32(), "settled": pa.bool_(), "packed": pa.binary(), "packed_bytes": pa.int32()}[n]) for n in NAMES]
-    return pa.RecordBatch.from_arrays(cols, NAMES)
+        some = np.flatnonzero(~travels)
+        rows.append((int(bucket[some[0]]), True, len(some), places_of(doc[some], version[some], first[some], (first + end - begin)[some]), None, 0))
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(KINDS)], NAMES)
 
 
 def repeats_in(rows: list[dict], width: int) -> tuple[np.ndarray, ...]:
     """doc_id, version, first and end word of what the given buckets' windows remove."""
-    doc = np.concatenate([r["doc_ids"] for r in rows])
-    version = np.concatenate([r["versions"] for r in rows])
-    first = np.concatenate([r["firsts"] for r in rows])
+    doc, version, first = (np.concatenate(x) for x in zip(*(read_places(r["places"], r["runs"], 2) for r in rows), strict=True))
     data = b"\n".join([pa.decompress(r["packed"], decompressed_size=r["packed_bytes"], codec="zstd", asbytes=True) for r in rows])
     array = np.frombuffer(data, np.uint8)
     words = Words(array, np.concatenate([[0], np.flatnonzero(array == 0x0A) + 1, [len(array)]]))
@@ -141,7 +138,7 @@ def repeats_in(rows: list[dict], width: int) -> tuple[np.ndarray, ...]:
     return doc[r], version[r], base + starts[begin], base + starts[last] + width
 
 
-def removed_words(docs: DataFrame, width: int = 13, minimiser: int = 4, slice_bytes: int = SLICE_BYTES, group_bytes: int = SLICE_BYTES, buckets_per_partition: int = 16) -> DataFrame:
+def removed_words(docs: DataFrame, width: int = 13, minimiser: int = 3, slice_bytes: int = SLICE_BYTES, group_bytes: int = SLICE_BYTES, buckets_per_partition: int = 8) -> DataFrame:
     """doc_id, version, first, end: runs of words that a smaller doc_id also has.
 
     ``version`` is a hash of the text that tells rows of one doc_id apart.
@@ -166,17 +163,16 @@ def removed_words(docs: DataFrame, width: int = 13, minimiser: int = 4, slice_by
         for batch in batches:
             cols = {n: batch.column(n) for n in NAMES}
             for i in range(batch.num_rows):
-                row = {n: cols[n][i].values.to_numpy() for n in ("doc_ids", "versions", "firsts", "ends")}
-                if cols["settled"][i].as_py():
-                    yield to_batch((row["doc_ids"], row["versions"], row["firsts"], row["ends"]))
+                row = {n: cols[n][i].as_py() for n in ("bucket", "settled", "runs", "packed_bytes")} | {n: cols[n][i].as_buffer() for n in ("places", "packed")}
+                if row["settled"]:
+                    yield to_batch(tuple(read_places(row["places"], row["runs"], 3)))
                     continue
-                at = cols["bucket"][i].as_py()
-                if held and at != bucket and held_bytes >= group_bytes:
+                if held and row["bucket"] != bucket and held_bytes >= group_bytes:
                     yield to_batch(repeats_in(held, width))
                     held, held_bytes = [], 0
-                bucket = at
-                held.append(row | {"packed": cols["packed"][i].as_buffer(), "packed_bytes": cols["packed_bytes"][i].as_py()})
-                held_bytes += held[-1]["packed_bytes"]
+                bucket = row["bucket"]
+                held.append(row)
+                held_bytes += row["packed_bytes"]
         if held:
             yield to_batch(repeats_in(held, width))
 
@@ -184,7 +180,7 @@ def removed_words(docs: DataFrame, width: int = 13, minimiser: int = 4, slice_by
     return runs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(count, REMOVED)
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, minimiser: int = 4, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 13, minimiser: int = 3, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text of every row."""
     kept_fields = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
