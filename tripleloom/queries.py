@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tripleloom.functions import metrics as M
 from tripleloom.operators import analytics as A
 from tripleloom.operators import cardinality as C
+from tripleloom.operators import datasets as D
 from tripleloom.operators import statistics as S
 from tripleloom.plans import bgp as B
 from tripleloom.plans import orders as O
@@ -426,6 +427,65 @@ def parameter_correlation(spark, sf_dir):
     return rounded(A.correlation(results(spark, sf_dir), ["size", "predicted_cost"], "real_cost"))
 
 
+# data sets of plans: the same results as plans of a group
+
+PLANS_SQL = f"{RESULTS_SQL}, p AS (SELECT query_id AS group_id, method AS plan_id, real_cost AS y, ln(predicted_cost) AS prediction, CAST(size % 3 AS INTEGER) AS s, CASE WHEN method IN ('AF', 'NF') THEN 1 ELSE 0 END AS cartesian FROM r)"
+
+
+def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = results(spark, sf_dir)
+    return r.select(F.col("query_id").alias("group_id"), F.col("method").alias("plan_id"), F.col("real_cost").alias("y"), F.ln("predicted_cost").alias("prediction"), (F.col("size") % 3).cast("int").alias("s"), F.col("method").isin("AF", "NF").cast("int").alias("cartesian"))
+
+
+RANK_SQL = f"{PLANS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY y, plan_id) - 1 AS rank FROM p), j AS (SELECT a.group_id, b.prediction - a.prediction AS gap, 1.0 / (1 + least(a.rank, b.rank)) AS w FROM k AS a JOIN k AS b ON a.group_id = b.group_id AND a.y < b.y)"
+
+
+@query("ranking_loss", f"{RANK_SQL} SELECT group_id, round(sum(w * (greatest(-gap, 0) + ln(1 + exp(-abs(gap))))) / sum(w), 6) AS loss, round(avg(CASE WHEN gap > 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS pairs FROM j GROUP BY group_id")
+def ranking_loss(spark, sf_dir):
+    return rounded(D.ranking_loss(plans(spark, sf_dir)))
+
+
+@query("rank_groups", f"{PLANS_SQL} SELECT group_id, plan_id FROM p WHERE group_id IN (SELECT group_id FROM p GROUP BY group_id HAVING count(*) >= 2 AND count(DISTINCT y) >= 2)")
+def rank_groups(spark, sf_dir):
+    return D.rank_groups(plans(spark, sf_dir)).select("group_id", "plan_id")
+
+
+@query("labelled_best", f"{PLANS_SQL} SELECT group_id, plan_id, plan_id = first_value(plan_id) OVER (PARTITION BY group_id ORDER BY y, plan_id) AS is_best FROM p")
+def labelled_best(spark, sf_dir):
+    return D.label_plans(plans(spark, sf_dir)).select("group_id", "plan_id", "is_best")
+
+
+@query("plan_verdicts", f"{PLANS_SQL}, m AS (SELECT group_id, min(y) FILTER (WHERE cartesian = 1) AS x, min(y) FILTER (WHERE cartesian = 0) AS c FROM p GROUP BY group_id) SELECT group_id, CASE WHEN x IS NULL THEN 'free' WHEN c IS NULL THEN 'unknown' WHEN x < c THEN 'cartesian' WHEN x > c THEN 'connected' ELSE 'tie' END AS verdict FROM m")
+def plan_verdicts(spark, sf_dir):
+    return D.verdicts(plans(spark, sf_dir).withColumn("censored", F.lit(False)))
+
+
+@query("dataset_profile", f"{PLANS_SQL} SELECT 'all' AS source, cartesian, count(*) AS plans, count(DISTINCT group_id) AS groups, round(median(log10(y)), 6) AS log10_y FROM p GROUP BY cartesian")
+def dataset_profile(spark, sf_dir):
+    return rounded(D.profile(D.combined(all=plans(spark, sf_dir))))
+
+
+@query("expected_risk", f"{PLANS_SQL}, q AS (SELECT *, exp(prediction - max(prediction) OVER w) AS e, log10(greatest(y, 1)) - log10(greatest(min(y) OVER w, 1)) AS regret FROM p WINDOW w AS (PARTITION BY group_id)) SELECT group_id, round(sum(e * regret) / sum(e), 9) AS risk, round(sum(CASE WHEN regret = 0 THEN e ELSE 0 END) / sum(e), 9) AS best_share FROM q GROUP BY group_id")
+def expected_risk(spark, sf_dir):
+    return rounded(D.expected_risk(plans(spark, sf_dir)), 9)
+
+
+@query("stratum_quotas", f"{PLANS_SQL}, t AS (SELECT plan_id AS stratum, count(*) AS n FROM p GROUP BY plan_id), h AS (SELECT *, 100 * sqrt(n) / sum(sqrt(n)) OVER () AS share FROM t), f AS (SELECT *, floor(share) AS base, row_number() OVER (ORDER BY share - floor(share) DESC, stratum) AS place FROM h) SELECT stratum, n, CAST(least(n, base + CASE WHEN place <= 100 - (SELECT sum(base) FROM f) THEN 1 ELSE 0 END) AS BIGINT) AS quota FROM f")
+def stratum_quotas(spark, sf_dir):
+    strata = plans(spark, sf_dir).groupBy(F.col("plan_id").alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+    return D.quotas(strata, 100)
+
+
+@query("stratum_blocks")
+def stratum_blocks(spark, sf_dir):
+    return D.block(plans(spark, sf_dir).select("plan_id", "group_id"), "plan_id", "group_id", 50, 1)
+
+
+@query("contrast_pairs")
+def contrast_pairs(spark, sf_dir):
+    return D.contrast(plans(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in FOUND.items()}
 
