@@ -3,6 +3,7 @@
 import random
 from itertools import permutations, product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from tripleloom.operators import cardinality as C
 from tripleloom.operators import statistics as S
 from tripleloom.plans import bgp as B
 from tripleloom.plans import orders as O
-from tripleloom.plans import search
+from tripleloom.plans import search, soft
 from tripleloom.sources.triples import read_graph, read_ntriples, write_graph
 
 TRIPLES = [
@@ -137,3 +138,32 @@ def test_statistics(kg):
     known = set(TRIPLES)
     assert len(walks) == 2 * len({t[0] for t in TRIPLES})
     assert all((w.path[i], w.path[i + 1], w.path[i + 2]) in known for w in walks for i in range(0, len(w.path) - 2, 2))
+
+
+def test_soft_plans():
+    rng = np.random.default_rng(0)
+    patterns = B.parse_all(["?x knows ?y", "?y likes ?z", "?z type ?t", "?u likes ?v", "?v type ?w"])
+    share = np.array(B.sharing(patterns))
+    for order in permutations(range(5)):
+        hard = np.zeros((5, 5))
+        hard[list(order), range(5)] = 1
+        assert abs(soft.cartesian_penalty(hard, share) - B.cartesian_joins(patterns, order)) <= 4 * np.exp(-20) + 1e-9
+        assert soft.project(hard, width=3) == list(order)
+    chosen = soft.project(rng.random((5, 5)), patterns)
+    assert B.cartesian_joins(patterns, chosen) == 1
+    w = soft.grouped_softmax(rng.normal(size=(4, 3)), 0.5, rng)
+    assert np.allclose(w.sum(axis=1), 1)
+    rates = [soft.one_cycle(k, 50, 1.0)[0] for k in range(50)]
+    assert max(rates) == pytest.approx(1.0, abs=1e-6) and rates[0] == pytest.approx(0.2) and rates[-1] == pytest.approx(0.01)
+    assert soft.anneal(0, 10, 2.0, 0.5) == 2.0 and soft.anneal(10, 10, 2.0, 0.5) == 0.5
+
+
+def test_gradient_and_evolution_find_good_orders():
+    rng = random.Random(3)
+    cards = {m: float(rng.randrange(1, 10**6)) for m in range(1, 64)}
+    cost = search.additive(cards)
+    best = search.exhaustive(6, cost)[1]
+    worst = max(cost(o) for o in permutations(range(6)))
+    for method in (search.gradient, search.evolution):
+        order, value = method(6, cost)
+        assert value == cost(tuple(order)) and value <= best + 0.2 * (worst - best)

@@ -18,6 +18,8 @@ from itertools import permutations
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tripleloom.plans.soft import evolution, gradient
+
 Cost = Callable[[tuple[int, ...]], float]
 
 
@@ -162,7 +164,7 @@ def best_random(n: int, cost: Cost, tries: int = 100, seed: int = 0) -> tuple[li
     return order, value
 
 
-METHODS = {"exhaustive": exhaustive, "dynamic": dynamic, "greedy": greedy, "beam": beam, "improve": improve, "genetic": genetic, "random": best_random}
+METHODS = {"exhaustive": exhaustive, "dynamic": dynamic, "greedy": greedy, "beam": beam, "improve": improve, "genetic": genetic, "random": best_random, "gradient": gradient, "evolution": evolution}
 
 
 def search_all(cards: DataFrame, methods: Sequence[str], **options) -> DataFrame:

@@ -1,0 +1,130 @@
+"""Search over relaxed orders: scores or position weights that are decoded to left-deep orders.
+
+Each query's relaxed plan is a few numbers, so this is a helper of ``search``; many
+queries run side by side through ``search.search_all``.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+
+import numpy as np
+
+from tripleloom.plans.bgp import Pattern
+
+
+def one_cycle(step: int, steps: int, peak: float, warm: float = 0.2, start_div: float = 5.0, end_div: float = 20.0, momenta: tuple[float, float] = (0.85, 0.95)) -> tuple[float, float]:
+    """(rate, momentum): cosine from peak / start_div up to the peak and down to a 20th of the start, momentum the other way."""
+    turn = max(1.0, warm * steps - 1)
+    cosine = lambda a, b, x: b + (a - b) * (1 + math.cos(math.pi * x)) / 2
+    low, high = momenta
+    if step <= turn:
+        return cosine(peak / start_div, peak, step / turn), cosine(high, low, step / turn)
+    x = min(1.0, (step - turn) / max(1.0, steps - 1 - turn))
+    return cosine(peak, peak / start_div / end_div, x), cosine(low, high, x)
+
+
+def anneal(step: int, steps: int, start: float, least: float) -> float:
+    """Temperature falling linearly, never under ``least``."""
+    return max(least, start * (1 - step / max(1, steps)))
+
+
+def grouped_softmax(logits: np.ndarray, temperature: float = 1.0, noise: np.random.Generator | None = None) -> np.ndarray:
+    """Row-wise softmax, with Gumbel noise if a generator is given."""
+    z = logits if noise is None else logits - np.log(-np.log(noise.uniform(1e-12, 1.0, logits.shape)))
+    z = (z - z.max(axis=1, keepdims=True)) / temperature
+    e = np.exp(z)
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def project(weights: np.ndarray, patterns: Sequence[Pattern] | None = None, width: int = 6) -> list[int]:
+    """The order with most weight, weights[pattern, position], by a beam; ties go to the first order.
+
+    With ``patterns`` a step never takes a cartesian join while another is possible.
+    """
+    n = len(weights)
+    states: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+    for position in range(n):
+        grown = []
+        for total, order in states:
+            pool = [i for i in range(n) if i not in order]
+            if patterns and order:
+                seen = set().union(*(patterns[i].variables for i in order))
+                pool = [i for i in pool if patterns[i].variables & seen] or pool
+            grown += [(total - float(weights[i, position]), (*order, i)) for i in pool]
+        states = sorted(grown)[:width]
+    return list(states[0][1])
+
+
+def cartesian_penalty(weights: np.ndarray, share: np.ndarray, gamma: float = 20.0) -> float:
+    """A soft number of cartesian joins of weights[pattern, position]; exact, to (n - 1) e^-gamma, on a permutation.
+
+    ``share[i, j]`` counts the variables that patterns i and j share.
+    """
+    before = np.cumsum(weights, axis=1) - weights
+    overlap = (np.clip(share, 0, 1) @ np.clip(before, 0, 1))
+    return float((weights * np.exp(-gamma * overlap))[:, 1:].sum())
+
+
+def gradient(n: int, cost, steps: int = 40, draws: int = 16, rate: float = 1.0, seed: int = 0) -> tuple[list[int], float]:
+    """Gradient descent on the expected log cost of orders drawn with position logits.
+
+    Orders are drawn position by position without replacement (Gumbel noise); the
+    gradient of the expected cost is estimated from their log probabilities. The
+    best order seen, the mode's included, is returned.
+    """
+    rng = np.random.default_rng(seed)
+    logits, speed = np.zeros((n, n)), np.zeros((n, n))  # position, pattern
+    best = (math.inf, list(range(n)))
+    for step in range(steps):
+        orders, grads, logs = [], [], []
+        for k in range(draws + 1):
+            left, order, grad = np.ones(n, bool), [], np.zeros((n, n))
+            noise = -np.log(-np.log(rng.uniform(1e-12, 1.0, (n, n)))) if k else np.zeros((n, n))
+            for position in range(n):
+                z = np.where(left, logits[position], -np.inf)
+                p = np.exp(z - z.max())
+                p /= p.sum()
+                i = int(np.argmax(np.where(left, logits[position] + noise[position], -np.inf)))
+                grad[position] -= p
+                grad[position, i] += 1
+                left[i] = False
+                order.append(i)
+            value = cost(tuple(order))
+            best = min(best, (value, order))
+            orders.append(order)
+            grads.append(grad)
+            logs.append(math.log10(max(value, 1.0)) if math.isfinite(value) else 18.0)
+        edge = np.array(logs[1:]) - np.mean(logs[1:])
+        slope = np.tensordot(edge, np.array(grads[1:]), axes=1) / draws
+        size = np.linalg.norm(slope)
+        lr, momentum = one_cycle(step, steps, rate)
+        speed = momentum * speed + (slope / size if size > 1 else slope)
+        logits -= lr * speed
+    return best[1], best[0]
+
+
+def evolution(n: int, cost, rounds: int = 30, seed: int = 0) -> tuple[list[int], float]:
+    """Evolution strategy on one score for each pattern (separable covariance), decoded by descending score."""
+    rng = np.random.default_rng(seed)
+    young = 4 + int(3 * math.log(n + 1))
+    elders = young // 2
+    weights = np.log(elders + 0.5) - np.log(np.arange(1, elders + 1))
+    weights /= weights.sum()
+    power = 1 / (weights**2).sum()
+    learn = min(0.5, (n + 2) / 3 * 2 / ((n + 1.3) ** 2 + power) + 0.1)
+    mean, spread, step = np.zeros(n), np.ones(n), 1.0
+    best = (math.inf, list(range(n)))
+    for _ in range(rounds):
+        drawn = rng.normal(size=(young, n))
+        points = mean + step * np.sqrt(spread) * drawn
+        orders = [np.argsort(-x, kind="stable").tolist() for x in points]
+        values = [cost(tuple(o)) for o in orders]
+        best = min([best, *zip(values, orders, strict=True)])
+        chosen = np.argsort(values, kind="stable")[:elders]
+        mean = weights @ points[chosen]
+        spread = (1 - learn) * spread + learn * (weights @ (drawn[chosen] ** 2)) * spread
+        step *= math.exp(0.2 * (np.linalg.norm(weights @ drawn[chosen]) * math.sqrt(power) / math.sqrt(n) - 1))
+        step = min(max(step, 1e-3), 10.0)
+    return best[1], best[0]
