@@ -195,60 +195,86 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
     return posterior, accuracy
 
 
-def fit_scorer(text: np.ndarray, feature: np.ndarray, target: np.ndarray, rounds: int = 60, least_texts: int = 3, rate: float = 0.3, decay: float = 1e-4) -> np.ndarray:
-    """Weights of a logistic regression on binary features; the last one is the bias.
+def fit_scorer(text: np.ndarray, feature: np.ndarray, target: np.ndarray, rounds: int = 60, least_texts: int = 3, strength: float = 10.0, memory: int = 8) -> np.ndarray:
+    """Weights of a logistic regression on binary features (L-BFGS); the last one is the bias.
 
     Texts on which no labeller voted (target 0.5) take no part.
     """
     sure = np.abs(target - 0.5) > 0.1
     text, feature, target = (np.cumsum(sure) - 1)[text[sure[text]]], feature[sure[text]], target[sure]
-    common = np.bincount(feature, minlength=BUCKETS) >= least_texts
-    keep = common[feature]
+    keep = (np.bincount(feature, minlength=BUCKETS) >= least_texts)[feature]
     text, feature = text[keep], feature[keep]
-    weights, squares = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-6)
-    n = max(1, len(target))
+    n = len(target)
+    weights = np.zeros(BUCKETS + 1)
+    if not n:
+        return weights.astype(np.float32)
+    decay = np.append(np.full(BUCKETS, 1.0 / (strength * n)), 0.0)
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(text, w[feature], n) + w[-1]
+        error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - target
+        grad = np.append(np.bincount(feature, error[text], BUCKETS), error.sum()) / n + decay * w
+        return float(np.mean(np.logaddexp(0, z) - target * z) + 0.5 * (decay * w * w).sum()), grad
+
+    value, grad = loss(weights)
+    pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(rounds):
-        z = np.bincount(text, weights[feature], len(target)) + weights[-1]
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
-        grad = np.append(np.bincount(feature, error[text], BUCKETS), error.sum()) / n + decay * weights * (np.arange(BUCKETS + 1) < BUCKETS)
-        squares += grad * grad
-        weights -= rate * grad / np.sqrt(squares)
+        step, notes = grad.copy(), []
+        for s, y, r in reversed(pairs):
+            notes.append(r * (s @ step))
+            step -= notes[-1] * y
+        if pairs:
+            s, y, _ = pairs[-1]
+            step *= (s @ y) / (y @ y)
+        for (s, y, r), note in zip(pairs, reversed(notes), strict=True):
+            step += s * (note - r * (y @ step))
+        slope, rate = -(grad @ step), 1.0
+        while True:
+            new = weights - rate * step
+            new_value, new_grad = loss(new)
+            if new_value <= value + 1e-4 * rate * slope or rate < 1e-6:
+                break
+            rate /= 2
+        s, y = new - weights, new_grad - grad
+        if s @ y > 1e-12:
+            pairs = [*pairs, (s, y, 1.0 / (s @ y))][-memory:]
+        done = abs(value - new_value) < 1e-7
+        weights, value, grad = new, new_value, new_grad
+        if done:
+            break
     return weights.astype(np.float32)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text and the people's votes on every row."""
+def people_votes(labels: DataFrame) -> DataFrame:
+    """_labelled (doc_id), form and toxicity: the people's votes on each labelled document."""
 
     def vote(bad):
-        return F.max(F.when(bad.isNull(), None).when(bad, REJECT).otherwise(KEEP))
-
-    votes = labels.groupBy(F.col("doc_id").cast("long").alias("_labelled")).agg(vote(F.col("quality") == 0).alias("form"), vote(F.col("toxic") == 1).alias("toxicity"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return base.join(votes, base.doc_id == votes["_labelled"], "left").select("doc_id", "text", *(F.coalesce(c, F.lit(ABSTAIN)).cast("int").alias(c) for c in ASPECTS))
-
+        return F.coalesce(F.max(F.when(bad.isNull(), None).when(bad, REJECT).otherwise(KEEP)), F.lit(ABSTAIN)).cast("int")
 
-def _votes(part: pa.RecordBatch) -> tuple[Signals, np.ndarray]:
-    """The signals of a slice and its texts' patterns of votes."""
-    signals = Signals(part.column("text"))
-    return signals, signals.votes(*(part.column(c).to_numpy() for c in ASPECTS)) @ PLACES
+    known = labels.where(F.col("doc_id").isNotNull())
+    return known.groupBy(F.col("doc_id").cast("long").alias("_labelled")).agg(vote(F.col("quality") == 0).alias("form"), vote(F.col("toxic") == 1).alias("toxicity"))
 
 
-def vote_patterns(docs: DataFrame) -> DataFrame:
-    """The number of documents of each pattern of votes (base-three number)."""
+def pattern_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The number of documents of each pattern of votes (a base-three number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_slices(batch):
-                code, times = np.unique(_votes(part)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(times, pa.int64())], ["pattern", "n"])
+                nobody = np.full(part.num_rows, ABSTAIN)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(Signals(part.column("text")).votes(nobody, nobody) @ PLACES)], ["doc_id", "pattern"])
 
-    return docs.mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    voted = docs.mapInArrow(run, "doc_id long, pattern long")
+    people = people_votes(labels)
+    joined = voted.join(people, voted.doc_id == people["_labelled"], "left")
+    said = sum((F.coalesce(F.col(a), F.lit(ABSTAIN)) - ABSTAIN) * int(PLACES[LABELLERS.index(f"people_{a}")]) for a in ASPECTS)
+    return joined.groupBy((F.col("pattern") + said).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, seed: int = 7) -> np.ndarray:
     """The scorer's weights, a row for each aspect. ``max_train`` bounds the sample that fits it."""
-    voted = _labelled(docs, labels)
-    rows = vote_patterns(voted).collect()  # at most 3 ** labellers
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = pattern_counts(docs, labels).collect()  # at most 3 ** labellers
     if not rows:
         return np.zeros((len(ASPECTS), BUCKETS + 1), np.float32)
     codes = np.array([r.pattern for r in rows])
@@ -261,21 +287,26 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, seed: int
     known = dict(zip(codes.tolist(), np.stack(posteriors, axis=1).tolist(), strict=True))
     people = (patterns[:, [LABELLERS.index(f"people_{a}") for a in ASPECTS]] != ABSTAIN).any(axis=1)
     # half of the sample with people's labels, as far as there are any
-    with_people, without = counts[people].sum(), counts[~people].sum()
-    shares = [min(1.0, max_train / 2 / max(1, with_people)), min(1.0, max(max_train / 2, max_train - with_people) / max(1, without))]
-    labelled = F.least(*ASPECTS) != ABSTAIN
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) < F.when(labelled, int(shares[0] * (1 << 40))).otherwise(int(shares[1] * (1 << 40)))
+    with_people, without = int(counts[people].sum()), int(counts[~people].sum())
+    scale = 1 << 40
+    labelled_share = min(1.0, max_train / 2 / max(1, with_people))
+    other_share = min(1.0, max(max_train / 2, max_train - with_people) / max(1, without))
+    drawn = lambda c, share: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(scale)) < int(share * scale)
+    votes = people_votes(labels.where(drawn(F.col("doc_id").cast("long"), labelled_share)))  # as bounded as the sample
+    some = docs.where(drawn(F.col("doc_id"), max(labelled_share, other_share))).join(F.broadcast(votes), F.col("doc_id") == F.col("_labelled"), "left")
+    some = some.where(F.col("_labelled").isNotNull() | drawn(F.col("doc_id"), other_share)).select("text", *(F.coalesce(a, F.lit(ABSTAIN)).alias(a) for a in ASPECTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_slices(batch):
-                signals, votes = _votes(part)
+                signals = Signals(part.column("text"))
+                code = signals.votes(*(part.column(a).to_numpy() for a in ASPECTS)) @ PLACES
                 text, feature = signals.features()
                 bounds = np.searchsorted(text, np.arange(part.num_rows + 1))
-                targets = pa.array([known.get(v, [0.5] * len(ASPECTS)) for v in votes.tolist()], pa.list_(pa.float64()))
+                targets = pa.array([known.get(v, [0.5] * len(ASPECTS)) for v in code.tolist()], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([targets, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(feature, pa.int32()))], ["targets", "features"])
 
-    sample = voted.where(draw).mapInArrow(run, "targets array<double>, features array<int>").toArrow()
+    sample = some.mapInArrow(run, "targets array<double>, features array<int>").toArrow()
     features = sample.column("features").combine_chunks()
     sizes = features.value_lengths().to_numpy()
     text, feature = np.repeat(np.arange(len(sizes)), sizes), features.flatten().to_numpy().astype(np.int64)
@@ -283,31 +314,33 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, seed: int
     return np.stack([fit_scorer(text, feature, targets[:, k]) for k in range(len(ASPECTS))])
 
 
-def score(docs: DataFrame, weights: np.ndarray, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` with _reject, the probability that a document should go."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(weights)  # a fixed number of buckets
-    schema = docs.select(*columns).schema.add("_reject", "double")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
-        for batch in batches:
-            for part in row_slices(batch, "_text"):
-                text, feature = Signals(part.column("_text")).features()
-                z = np.max([np.bincount(text, one[feature], part.num_rows) + one[-1] for one in w], axis=0)
-                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(p)], [*columns, "_reject"])
-
-    return docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).mapInArrow(run, schema)
+def reject_scores(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """The probability that each text should go, by its worse aspect."""
+    text, feature = Signals(texts).features()
+    z = np.max([np.bincount(text, one[feature], len(texts)) + one[-1] for one in weights], axis=0)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """doc_id, reject_score and keep of every row."""
-    weights = train(docs, labels, **options)
-    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), weights, ["doc_id"])
-    return scored.select("doc_id", F.col("_reject").alias("reject_score"), (F.col("_reject") < threshold).alias("keep"))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))  # a fixed number of buckets
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in row_slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(reject_scores(part.column("text"), shared.value))], ["doc_id", "reject_score"])
+
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, reject_score double")
+    return scored.withColumn("keep", F.col("reject_score") < threshold)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """The rows of ``docs`` worth keeping, unchanged."""
-    return score(docs, train(docs, labels, **options), docs.columns).where(F.col("_reject") < threshold).drop("_reject")
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in row_slices(batch):
+                yield part.filter(pa.array(reject_scores(part.column("text"), shared.value) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
