@@ -57,6 +57,8 @@ ASPECTS = {
 LABELLERS = tuple(x for names in ASPECTS.values() for x in names)
 PLACES = 3 ** np.arange(len(LABELLERS))
 BUCKETS = 1 << 18
+#: Texts of the sample that a feature must occur in.
+LEAST_TEXTS = 3
 SHAPES = ("symbols", "capitals", "repeats", "separators", "function_words", "variety")
 #: The first buckets are the shapes' own.
 RESERVED = 64
@@ -195,25 +197,26 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
     return posterior, accuracy
 
 
-def fit_scorer(text: np.ndarray, feature: np.ndarray, target: np.ndarray, rounds: int = 60, least_texts: int = 3, strength: float = 10.0, memory: int = 8) -> np.ndarray:
+def fit_scorer(sizes: np.ndarray, feature: np.ndarray, target: np.ndarray, rounds: int = 60, strength: float = 10.0, memory: int = 8) -> np.ndarray:
     """Weights of a logistic regression on binary features (L-BFGS); the last one is the bias.
 
-    Texts on which no labeller voted (target 0.5) take no part.
+    Text i has the next ``sizes[i]`` of ``feature``. Texts on which no labeller
+    voted (target 0.5) take no part.
     """
     sure = np.abs(target - 0.5) > 0.1
-    text, feature, target = (np.cumsum(sure) - 1)[text[sure[text]]], feature[sure[text]], target[sure]
-    keep = (np.bincount(feature, minlength=BUCKETS) >= least_texts)[feature]
-    text, feature = text[keep], feature[keep]
-    n = len(target)
-    weights = np.zeros(BUCKETS + 1)
+    feature, sizes, target = feature[np.repeat(sure, sizes)], sizes[sure], target[sure]
+    n, width = len(target), int(feature.max(initial=-1)) + 1
+    weights = np.zeros(width + 1)
     if not n:
-        return weights.astype(np.float32)
-    decay = np.append(np.full(BUCKETS, 1.0 / (strength * n)), 0.0)
+        return weights
+    ends = np.cumsum(sizes)
+    decay = np.append(np.full(width, 1.0 / (strength * n)), 0.0)
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(text, w[feature], n) + w[-1]
+        total = np.concatenate([[0.0], np.cumsum(w[feature])])
+        z = total[ends] - total[ends - sizes] + w[-1]
         error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - target
-        grad = np.append(np.bincount(feature, error[text], BUCKETS), error.sum()) / n + decay * w
+        grad = np.append(np.bincount(feature, np.repeat(error, sizes), width), error.sum()) / n + decay * w
         return float(np.mean(np.logaddexp(0, z) - target * z) + 0.5 * (decay * w * w).sum()), grad
 
     value, grad = loss(weights)
@@ -242,7 +245,7 @@ def fit_scorer(text: np.ndarray, feature: np.ndarray, target: np.ndarray, rounds
         weights, value, grad = new, new_value, new_grad
         if done:
             break
-    return weights.astype(np.float32)
+    return weights
 
 
 def people_votes(labels: DataFrame) -> DataFrame:
@@ -271,7 +274,7 @@ def pattern_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.groupBy((F.col("pattern") + said).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, seed: int = 7) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, seed: int = 7) -> np.ndarray:
     """The scorer's weights, a row for each aspect. ``max_train`` bounds the sample that fits it."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = pattern_counts(docs, labels).collect()  # at most 3 ** labellers
@@ -286,11 +289,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, seed: int
         at += len(names)
     known = dict(zip(codes.tolist(), np.stack(posteriors, axis=1).tolist(), strict=True))
     people = (patterns[:, [LABELLERS.index(f"people_{a}") for a in ASPECTS]] != ABSTAIN).any(axis=1)
-    # half of the sample with people's labels, as far as there are any
+    # three quarters of the sample with people's labels, as far as there are any
     with_people, without = int(counts[people].sum()), int(counts[~people].sum())
     scale = 1 << 40
-    labelled_share = min(1.0, max_train / 2 / max(1, with_people))
-    other_share = min(1.0, max(max_train / 2, max_train - with_people) / max(1, without))
+    labelled_share = min(1.0, max_train * 3 / 4 / max(1, with_people))
+    other_share = min(1.0, max(max_train / 4, max_train - with_people) / max(1, without))
     drawn = lambda c, share: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(scale)) < int(share * scale)
     votes = people_votes(labels.where(drawn(F.col("doc_id").cast("long"), labelled_share)))  # as bounded as the sample
     some = docs.where(drawn(F.col("doc_id"), max(labelled_share, other_share))).join(F.broadcast(votes), F.col("doc_id") == F.col("_labelled"), "left")
@@ -308,10 +311,22 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, seed: int
 
     sample = some.mapInArrow(run, "targets array<double>, features array<int>").toArrow()
     features = sample.column("features").combine_chunks()
-    sizes = features.value_lengths().to_numpy()
-    text, feature = np.repeat(np.arange(len(sizes)), sizes), features.flatten().to_numpy().astype(np.int64)
+    sizes = features.value_lengths().to_numpy().astype(np.int64)
+    feature = features.flatten().to_numpy()
     targets = sample.column("targets").combine_chunks().flatten().to_numpy().reshape(-1, len(ASPECTS))
-    return np.stack([fit_scorer(text, feature, targets[:, k]) for k in range(len(ASPECTS))])
+    del sample, features
+    # only features of several texts get a weight
+    common = np.bincount(feature, minlength=BUCKETS) >= LEAST_TEXTS
+    keep = common[feature]
+    bounds = np.concatenate([[0], np.cumsum(keep)])
+    ends = np.cumsum(sizes)
+    feature, sizes = (np.cumsum(common) - 1)[feature[keep]], bounds[ends] - bounds[ends - sizes]
+    out = np.zeros((len(ASPECTS), BUCKETS + 1), np.float32)
+    places = np.flatnonzero(common)
+    for k in range(len(ASPECTS)):
+        weights = fit_scorer(sizes, feature, targets[:, k])
+        out[k, places[: len(weights) - 1]], out[k, -1] = weights[:-1], weights[-1]
+    return out
 
 
 def reject_scores(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
