@@ -37,34 +37,38 @@ def hashed_lines(docs: DataFrame, site: str, min_chars: int) -> DataFrame:
 
 def boilerplate(lines: DataFrame, min_sites: int, lg_k: int, margin: float) -> DataFrame:
     """line_hash and first_owner, first_pos of every line on ``min_sites`` sites or more."""
-    often = lines.groupBy("line_hash").count().where(F.col("count") >= min_sites).select("line_hash")
-    frequent = lines.join(often, "line_hash")
-    spread = frequent.groupBy("line_hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.min(F.struct("owner", "pos")).alias("first"))
+    # tables of frequent lines alone are written out: joined with one, a very common line's rows can be split
+    often = durable(lines.groupBy("line_hash").count().where(F.col("count") >= min_sites).select("line_hash"))
+    by_site = durable(lines.join(often, "line_hash").groupBy("line_hash", "site").agg(F.min(F.struct("owner", "pos")).alias("first")))
+    spread = by_site.groupBy("line_hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.min("first").alias("first"))
     near = F.abs(F.col("sites") - min_sites) <= F.lit(margin * min_sites)
-    spread = durable(spread.select("line_hash", "sites", near.alias("near"), F.col("first.owner").alias("first_owner"), F.col("first.pos").alias("first_pos")))
-    exact = lines.join(spread.where("near").select("line_hash"), "line_hash").groupBy("line_hash").agg(F.countDistinct("site").alias("exact"))
+    spread = spread.select("line_hash", "sites", near.alias("near"), F.col("first.owner").alias("first_owner"), F.col("first.pos").alias("first_pos"))
+    exact = by_site.join(spread.where("near").select("line_hash"), "line_hash").groupBy("line_hash").agg(F.count("site").alias("exact"))
     settled = spread.join(exact, "line_hash", "left")
-    return settled.where(F.when(F.col("near"), F.coalesce("exact", F.lit(0)) >= min_sites).otherwise(F.col("sites") >= min_sites)).select("line_hash", "first_owner", "first_pos")
+    chosen = F.when(F.col("near"), F.coalesce("exact", F.lit(0)) >= min_sites).otherwise(F.col("sites") >= min_sites)
+    return durable(settled.where(chosen).select("line_hash", "first_owner", "first_pos"))
 
 
 def drop_boilerplate(docs: DataFrame, min_sites: int = 10, site: str = "source", min_chars: int = 16, lg_k: int = 12, margin: float = 0.25) -> DataFrame:
-    """``docs`` with boilerplate lines out of ``text``, plus _n_lines and _n_removed."""
+    """``docs`` with boilerplate lines out of ``text``, then _n_lines and _n_removed as the last two columns."""
     lines = durable(hashed_lines(docs, site, min_chars))
     found = boilerplate(lines, min_sites, lg_k, margin)
     gone = lines.join(found, "line_hash").where((F.col("owner") != F.col("first_owner")) | (F.col("pos") != F.col("first_pos")))
     # positions by blocks, so that a look-up stays short in texts of very many lines
     gone = gone.groupBy("owner", "version", F.floor(F.col("pos") / BLOCK).cast("int").alias("block")).agg(F.collect_set("pos").alias("at"))
-    gone = gone.groupBy("owner", "version").agg(F.map_from_entries(F.collect_list(F.struct("block", "at"))).alias("_gone"), F.sum(F.size("at")).alias("_n_removed"))
-    keyed = docs.withColumn("_owner", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_version", F.xxhash64("text"))
-    gone = gone.withColumnsRenamed({"owner": "_owner", "version": "_version"})
-    split = F.split("text", "\n")
-    stays = lambda _, i: ~F.coalesce(F.array_contains(F.element_at("_gone", F.floor(i / BLOCK).cast("int")), i), F.lit(False))
-    rebuilt = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, stays), "\n"))
-    joined = keyed.join(gone.hint("shuffle_hash"), ["_owner", "_version"], "left")
-    return joined.withColumn("_n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(split)).cast("long")).withColumn("text", rebuilt).withColumn("_n_removed", F.coalesce("_n_removed", F.lit(0)).cast("long")).select(*docs.columns, "_n_lines", "_n_removed")
+    gone = gone.groupBy("owner", "version").agg(F.map_from_entries(F.collect_list(F.struct("block", "at"))).alias("gone"), F.sum(F.size("at")).alias("n_removed"))
+    # the row travels as one struct, so that no name of its columns can clash
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("owner"), F.xxhash64("text").alias("version"))
+    joined = keyed.join(gone.hint("shuffle_hash"), ["owner", "version"], "left")
+    text, split = F.col("row.text"), F.split("row.text", "\n")
+    stays = lambda _, i: ~F.coalesce(F.array_contains(F.element_at("gone", F.floor(i / BLOCK).cast("int")), i), F.lit(False))
+    rebuilt = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(split, stays), "\n"))
+    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(split)).cast("long")
+    columns = [rebuilt.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
+    return joined.select(*columns, n_lines.alias("_n_lines"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("_n_removed"))
 
 
 def line_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_sha256 of every row."""
-    out = drop_boilerplate(docs, **options)
+    out = drop_boilerplate(docs.select("doc_id", "text", options.get("site", "source")), **options)
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
