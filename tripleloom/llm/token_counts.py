@@ -45,7 +45,7 @@ class WordEncoder:
     It remembers up to ``max_known`` distinct words and then starts afresh.
     """
 
-    def __init__(self, path: str, max_known: int = 500_000):
+    def __init__(self, path: str, max_known: int = 250_000):
         self.tokenizer = load_tokenizer(path)
         self.max_known = max_known
         self.forget()
