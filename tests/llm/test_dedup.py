@@ -173,3 +173,62 @@ def test_boilerplate_in_odd_rows(odd, empty, docs_of):
     assert line_report(empty).count() == 0
     many = docs_of([(1, "\n".join(["the same line again and again"] * 3000), "en", "a"), (2, "the same line again and again", "en", "b")])
     assert sorted((r.doc_id, r.n_removed) for r in line_report(many, min_sites=2).collect()) == [(1, 2999), (2, 1)]
+
+
+def shingle_set(text, k=5):
+    w = WORD.findall((text or "").lower())
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
+def likeness(a, b):
+    return len(a & b) / max(1, len(a | b))
+
+
+def kept_by_brute_force(rows, threshold=0.8):
+    sets, forest = [shingle_set(t) for _, t in rows], Forest()
+    for a in range(len(rows)):
+        for b in range(a):
+            same = WORD.findall((rows[a][1] or "").lower()) == WORD.findall((rows[b][1] or "").lower())
+            if same or likeness(sets[a], sets[b]) >= threshold:
+                forest.join(a, b)
+    groups = {}
+    for a in range(len(rows)):
+        groups.setdefault(forest.find(a), []).append(rows[a][0])
+    return sorted(min(g) for g in groups.values())
+
+
+def edited(rng, words, changes):
+    out = list(words)
+    for at in rng.sample(range(len(out)), changes):
+        out[at] = f"edit{rng.randrange(10**6)}"
+    return out
+
+
+def test_near_copies_down_to_the_threshold_go(docs_of):
+    rng = random.Random(3)
+    rows = []
+    for i in range(80):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 300))]
+        rows.append((10 * i, " ".join(base)))
+        rows += [(10 * i + c, " ".join(edited(rng, base, max(1, round(len(base) * share))))) for c, share in ((1, 0.006), (2, 0.012), (3, 0.018), (4, 0.022), (5, 0.03))]
+    rng.shuffle(rows)
+    sets = {i: shingle_set(t) for i, t in rows}
+    bands = [sum(lo <= likeness(sets[10 * i], sets[10 * i + c]) < lo + 0.05 for i in range(80) for c in range(1, 6)) for lo in (0.75, 0.8, 0.85, 0.9)]
+    assert min(bands) > 10
+    assert sorted(r.doc_id for r in one_of_each(docs_of(rows).repartition(5)).collect()) == kept_by_brute_force(rows)
+
+
+def test_a_large_group_is_split_without_losing_links(docs_of):
+    from tripleloom.llm.simhash import likeness_links, text_classes
+
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(edited(rng, base, 1 + i % 2))) for i in range(90)]
+    docs = docs_of(rows)
+    classes = text_classes(docs, 5)
+    of = {r.cls: r.doc_id for r in classes.collect()}
+    forest = Forest()
+    for r in likeness_links(docs, classes, 5, 0.8, block=8).collect():
+        forest.join(of[r.a], of[r.b])
+    sets = [shingle_set(t) for _, t in rows]
+    assert len(of) == 90 and all(forest.find(a) == forest.find(b) for a in range(90) for b in range(a) if likeness(sets[a], sets[b]) >= 0.8)

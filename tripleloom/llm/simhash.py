@@ -19,6 +19,10 @@ Defined results: null or empty text has fingerprint zero and links like any
 other; equal fingerprints are always linked; repeated rows are answered each; a
 null doc_id is never a component's id unless it is alone. Extra columns are
 ignored; an empty table gives no rows.
+
+``one_of_each`` drops by exact likeness of shingle sets instead: fingerprints of
+likeness 0.8 differ by about ten bits, at which chance links of unrelated texts
+are many, so it probes by MinHash keys and verifies every link.
 """
 
 from __future__ import annotations
@@ -35,9 +39,7 @@ from pyspark.sql import functions as F
 
 from tripleloom.llm._session import durable
 from tripleloom.llm._text import SLICE_BYTES, Words, raw, row_slices
-
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[ord("A") : ord("Z") + 1] += 32
+from tripleloom.llm.likeness import BANDS, LOWER, alike, slice_keys, slice_sets
 
 
 def slice_fingerprints(texts: pa.Array, k: int, seed: int) -> np.ndarray:
@@ -277,10 +279,83 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, seed: int = 42
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, k: int = 5, radius: int = 7, seed: int = 42) -> DataFrame:
+def text_classes(docs: DataFrame, k: int) -> DataFrame:
+    """owner, version, doc_id, cls and keys of every row; equal shingle sets have one class, short texts no keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in row_slices(batch, max_bytes=SLICE_BYTES):
+                hashes, first, classes = slice_sets(part.column("text"), k)
+                ends = np.concatenate([[0], np.cumsum(np.diff(first) > 0)]) * BANDS
+                keys = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(slice_keys(hashes, first).view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("owner", "version", "doc_id")), pa.array(classes.view(np.int64)), keys], ["owner", "version", "doc_id", "cls", "keys"])
+
+    return keyed_texts(docs).mapInArrow(run, "owner long, version long, doc_id long, cls long, keys array<long>")
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("owner"), F.xxhash64(text).alias("version"), doc_id.alias("doc_id"), text.alias("text"))
+
+
+def likeness_links(docs: DataFrame, classes: DataFrame, k: int, threshold: float, block: int = 256) -> DataFrame:
+    """Links (a, b) that connect every two classes that share a key and have a likeness of ``threshold`` or more.
+
+    ``classes`` has one row for each cls. Texts that meet under several keys in
+    the same company are compared once; more than ``block`` under one key are
+    split into blocks that meet in pairs.
+    """
+    keyed = classes.select("cls", F.explode("keys").alias("key"))
+    company = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("y")).where("n > 1")
+    company = company.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    members = durable(keyed.join(company, "key").select("key", "cls", "blocks"))
+    needed = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("owner", "version")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in row_slices(batch, max_bytes=SLICE_BYTES):
+                hashes, first, found = slice_sets(part.column("text"), k)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(8 * first.astype(np.int64)), pa.py_buffer(hashes)]).cast(pa.binary())], ["cls", "hashes"])
+
+    own, other = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = members.select("*", own.alias("own"), other.alias("other")).select("cls", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
+    whole = keyed_texts(docs).join(needed, ["owner", "version"], "left_semi").select("text").mapInArrow(sets, "cls long, hashes binary")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, {}
+
+        def linked() -> pa.RecordBatch:
+            forest, found, names = Forest(), [], sorted(held)
+            for i, a in enumerate(names):
+                for b in names[:i]:
+                    if forest.find(a) != forest.find(b) and alike(held[a], held[b], threshold):
+                        forest.join(a, b)
+                        found.append((b, a))
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for at, cls, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if at != cell:
+                    if len(held) > 1:
+                        yield linked()
+                    cell, held = at, {}
+                held[cls] = np.frombuffer(hashes.as_buffer(), np.uint64).copy()
+        if len(held) > 1:
+            yield linked()
+
+    return cells.join(whole, "cls").select("cell", "cls", "hashes").repartition("cell").sortWithinPartitions("cell").mapInArrow(search, "a long, b long").distinct()
+
+
+def one_of_each(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its near-duplicates, unchanged.
 
+    Near-duplicates are connected by pairs whose ``k``-word shingle sets have a
+    likeness of ``threshold`` or more; texts of fewer words must have the same words.
     Rows that repeat a doc_id are one document and stay or go together.
     """
-    kept = near_duplicates(docs, k, radius, seed).select(F.col("component_id").alias("_kept")).distinct()
+    rows = text_classes(docs, k)
+    classes = durable(rows.groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.min(F.struct("owner", "version", "keys")).alias("one")).select("cls", "first_doc", "one.*"))
+    roots = components(likeness_links(docs, classes, k, threshold))
+    joined = classes.join(roots, classes.cls == roots.node, "left").select("first_doc", F.coalesce("root", "cls").alias("root"))
+    kept = joined.groupBy("root").agg(F.min("first_doc").alias("_kept")).select("_kept").distinct()
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
