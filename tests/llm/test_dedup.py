@@ -232,3 +232,16 @@ def test_a_large_group_is_split_without_losing_links(docs_of):
         forest.join(of[r.a], of[r.b])
     sets = [shingle_set(t) for _, t in rows]
     assert len(of) == 90 and all(forest.find(a) == forest.find(b) for a in range(90) for b in range(a) if likeness(sets[a], sets[b]) >= 0.8)
+
+
+def test_texts_under_the_threshold_stay(docs_of):
+    rng = random.Random(6)
+    rows = [(0, ""), (1, None), (2, "two words"), (3, "Two  words"), (4, "other words"), (5, "words two")]
+    rows += [(i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(6))) for i in range(100, 1600)]
+    for i in range(2000, 2400, 2):
+        base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+        rows += [(i, " ".join(base)), (i + 1, " ".join(edited(rng, base, 5)))]
+    kept = {r.doc_id for r in one_of_each(docs_of(rows)).collect()}
+    sets = dict((i, shingle_set(t)) for i, t in rows)
+    apart = [i for i in range(2001, 2400, 2) if likeness(sets[i - 1], sets[i]) < 0.8]
+    assert len(apart) > 150 and kept == {0, 2, 4, 5, *range(100, 1600), *range(2000, 2400, 2), *apart}
