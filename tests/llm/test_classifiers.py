@@ -113,6 +113,22 @@ def test_leaks_in_odd_rows(odd, empty, bench):
     assert find_leaks(odd, odd.select(F.col("doc_id").alias("item_id"), "text")).where("item_id = 1").count() == 4
 
 
+def test_shortest_items_are_all_found(docs_of, spark):
+    rng = random.Random(12)
+    items = {i: [f"i{i}x{k}" for k in range(5 + i % 9)] for i in range(4000)}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    rows, expected = [], set()
+    for i, w in items.items():
+        # in the first block, where one window alone holds it, and cut as far as 0.8 allows
+        n = len(w) - 4
+        cut = w[: len(w) - n // 5] if i % 2 else w
+        rows.append((i, " ".join([*[f"a{i}y{k}" for k in range(rng.randrange(3))], *cut, *[f"b{i}y{k}" for k in range(60)]])))
+        expected.add((i, i, len(cut) - 4, n))
+    docs = docs_of(rows)
+    assert {(r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in find_leaks(docs, bench).collect()} == expected
+    assert drop_leaks(docs, bench).count() == 0
+
+
 def quality_rows(seed, n):
     rng = random.Random(seed)
     rows, labels = [], []

@@ -4,8 +4,9 @@ Test items are partitioned by their number of distinct word shingles. For a
 partition of items of up to 2^c shingles a document is read in overlapping
 windows of 2^(c+1), so that a short item is never compared with a whole long
 document: the likeness of an item to a window that holds it stays high enough
-for one shared minimum among ``functions`` to find it all but surely. Every
-candidate is verified by exact containment of the item's shingles in the whole
+for one shared minimum among ``functions`` to find it all but surely. Items of
+up to ``SHORT`` shingles are looked up by as many of their hashes as a leak cannot
+all lack, which finds them with certainty. Every candidate is verified by exact containment of the item's shingles in the whole
 document, hash by hash and then string by string.
 
 Words are runs of other than white space with A-Z in lower case. The items are a
@@ -31,6 +32,8 @@ from tripleloom.llm._text import Words, raw, row_slices, shingle_hashes
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+#: Shingles of the items that are looked up by their hashes.
+SHORT = 8
 LEAKS = "doc_id long, item_id long, n_shared long, n_shingles long, containment double"
 
 
@@ -57,9 +60,12 @@ class Items:
                 self.strings.append({text[words.start[j] : words.start[j + k] - 1] for j in own})
         self.partitions = []
         sizes = np.array([len(h) for h in self.hashes], int)
+        short = [(h, m) for m in np.flatnonzero(sizes <= SHORT).tolist() for h in self.hashes[m][: self.lookups(int(sizes[m]))].tolist()]
+        short.sort()
+        self.short = np.array([x[0] for x in short], np.uint64), [x[1] for x in short]
         exponents = np.ceil(np.log2(np.maximum(sizes, 1))).astype(int)
-        for c in sorted(set(np.maximum(exponents, 3).tolist())):
-            members = np.flatnonzero(np.maximum(exponents, 3) == c)
+        for c in sorted(set(exponents[sizes > SHORT].tolist())):
+            members = np.flatnonzero((sizes > SHORT) & (exponents == c))
             minima = np.array([[int((self.hashes[m] * a + b).min()) for a, b in zip(self.factors, self.terms, strict=True)] for m in members], np.uint64)
             tables = []
             for f in range(functions):
@@ -67,10 +73,21 @@ class Items:
                 tables.append((minima[order, f], members[order]))
             self.partitions.append((1 << c, tables))
 
+    def lookups(self, size: int) -> int:
+        """Of so many of an item's hashes a leak has one at least."""
+        return min(size, size - math.ceil(self.threshold * size - 1e-9) + 1)
+
     def candidates(self, hashes: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) pairs that share a minimum in some window; text d has hashes first[d]..first[d + 1]."""
+        """(text, item) pairs that share a short item's hash or a minimum in some window; text d has hashes first[d]..first[d + 1]."""
         found: set[tuple[int, int]] = set()
         n = np.diff(first)
+        keys, members = self.short
+        lo, hi = np.searchsorted(keys, hashes), np.searchsorted(keys, hashes, side="right")
+        hits = np.flatnonzero(hi > lo)
+        for d, i in zip((np.searchsorted(first, hits, side="right") - 1).tolist(), hits.tolist(), strict=True):
+            found.update((d, m) for m in members[lo[i] : hi[i]])
+        if not self.partitions:
+            return found
         for f, (a, b) in enumerate(zip(self.factors, self.terms, strict=True)):
             values = hashes * a + b
             width, starts, counts = 1, first[:-1], n  # blocks of the level before
