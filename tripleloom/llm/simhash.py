@@ -325,12 +325,17 @@ def likeness_links(docs: DataFrame, classes: DataFrame, k: int, threshold: float
         cell, held = None, {}
 
         def linked() -> pa.RecordBatch:
-            forest, found, names = Forest(), [], sorted(held)
-            for i, a in enumerate(names):
-                for b in names[:i]:
-                    if forest.find(a) != forest.find(b) and alike(held[a], held[b], threshold):
-                        forest.join(a, b)
+            trees, found = [], []
+            for a in sorted(held):
+                whole, apart = [a], []
+                for tree in trees:  # one link to each tree is enough
+                    b = next((b for b in tree if alike(held[a], held[b], threshold)), None)
+                    if b is None:
+                        apart.append(tree)
+                    else:
                         found.append((b, a))
+                        whole += tree
+                trees = [*apart, whole]
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
