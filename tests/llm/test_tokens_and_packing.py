@@ -1,13 +1,17 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import ODD
-from tripleloom.llm.packing import OpenWindows, pack
-from tripleloom.llm.token_counts import token_counts
+from tripleloom.llm._text import Words, raw
+from tripleloom.llm.packing import OpenWindows, encoded, pack
+from tripleloom.llm.token_counts import SAFE, WordEncoder, pieces, token_counts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -28,6 +32,37 @@ def test_counts_equal_the_library(odd, tokenizer, max_bytes):
     assert found == expected
 
 
+PIECES = ["'", "'s", "'T", "'re", "'LL", "'ve", "a", "B", "H", "é", "e\u0301", "\u0331", "İ", "Σ", "\u212a", "1", "2", "٣", "½", "!", "-", ".", "|", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "\x01", "\x0b", "\x1c", "\x7f", "\xa0", "\x85", "\u3000", " ", "\n", "漢", "’", "’s", "😀", "\u200d", "l", "v", "s", "\u1100", "\u1161", "ﬁ"]
+
+
+@pytest.mark.parametrize("max_bytes", [16, 1 << 22])
+def test_ids_of_odd_texts_equal_the_library(tokenizer, max_bytes):
+    """Forms on both sides of every cut: contractions, digits, marks, combining characters, special tokens."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(PIECES, k=rng.randint(0, 25))) for _ in range(4000)]
+    encoder = WordEncoder(PATH, max_known=50_000)  # so small that both generations turn over
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    found = dict(encoded(batch, encoder, 2, max_bytes))
+    for row, text in enumerate(texts):
+        assert found[row].tolist() == ids_of(tokenizer, text) + [2], text
+    assert encoder.used <= 50_000
+
+
+def test_a_run_without_white_space_is_cut_at_safe_places(tokenizer):
+    text = "ab.c3-don't;" * 5000
+    data, offsets = raw(pa.array([text]))
+    parts = list(pieces(data, offsets, 1000))
+    assert len(parts) > 50 and max(len(p[1]) for p in parts) <= 1000
+    encoder = WordEncoder(PATH)
+    assert sum(int(encoder.lengths(Words(p, at, SAFE, sep=0)).sum()) for _, p, at in parts) == len(ids_of(tokenizer, text))
+
+
+def test_ids_of_documents_of_any_integer_type(docs_of):
+    docs = docs_of([(1, "one two"), (2, None)]).withColumn("doc_id", F.col("doc_id").cast("int"))
+    assert {(r.doc_id, r.n_tokens) for r in token_counts(docs, PATH).collect()} == {(1, 2), (2, 0)}
+    assert {(r.doc_id, r.doc_tokens) for r in pack(docs, PATH).collect()} == {(1, 3), (2, 1)}
+
+
 def test_empty_tables(empty):
     assert token_counts(empty, PATH).count() == 0
     assert pack(empty, PATH).count() == 0

@@ -92,7 +92,7 @@ def encoded(batch: pa.RecordBatch, encoder, end_id: int, max_bytes: int) -> Iter
         parts, at = [], at + 1
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 4096, open_windows: int = 32, end_id: int = 2, merge_partitions: int = 16, max_bytes: int = 2 * SLICE_BYTES, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 4096, open_windows: int = 32, end_id: int = 2, merge_partitions: int = 16, max_bytes: int = SLICE_BYTES, with_ids: bool = False) -> DataFrame:
     """A row for each piece: where its ids come from and where they lie.
 
     ``with_ids`` adds the ids themselves (array<int>); each piece's
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, open_windows: int
             yield to_batch(rows)
 
     # durable: the emitted windows and the leftovers come from one run of the packing
-    placed = durable(docs.select("doc_id", "text").mapInArrow(place, fields))
+    placed = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(place, fields))
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         """Pack one group's leftover pieces anew, largest first."""
