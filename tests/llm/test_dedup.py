@@ -144,7 +144,8 @@ def test_plans_meet_the_pigeonhole_bound():
     assert sorted(len(g) for g in correlated_parts(np.eye(64), 5)) == [12, 13, 13, 13, 13]
 
 
-def test_boilerplate_equals_brute_force(docs_of):
+@pytest.mark.parametrize("options", [{}, {"most_broadcast": 0}, {"margin": 10.0}])
+def test_boilerplate_equals_brute_force(docs_of, options):
     rng = random.Random(8)
     lines = [f"boilerplate line number {k} of the site" for k in range(12)]
     rows = []
@@ -160,10 +161,27 @@ def test_boilerplate_equals_brute_force(docs_of):
                 first.setdefault(line.strip(), (i, pos))
     gone = {x for x, sites in spread.items() if len(sites) >= 10}
     expected = {i: "\n".join(x for pos, x in enumerate(t.split("\n")) if x.strip() not in gone or first[x.strip()] == (i, pos)) for i, t, *_ in rows}
-    found = drop_boilerplate(docs_of(rows)).collect()
+    found = drop_boilerplate(docs_of(rows), **options).collect()
     assert gone and {r.doc_id: r.text for r in found} == expected
 
 
+@pytest.mark.parametrize("margin", [0.25, 0.0])
+def test_estimates_decide_far_from_the_threshold(docs_of, margin):
+    """Sketches of 16 registers err by a quarter: lines on 300 and on 20 sites are settled by them alone, with no exact count."""
+    rows = [(i, f"a line on very many sites\nand one of text {i}", "en", f"s{i}") for i in range(300)]
+    rows += [(i, "a line on a few of the sites", "en", f"s{i % 20}") for i in range(300, 500)]
+    found = {r.doc_id: r for r in drop_boilerplate(docs_of(rows), min_sites=100, lg_k=4, margin=margin).collect()}
+    assert "very many" in found[0].text and all("very many" not in found[i].text for i in range(1, 300))
+    assert all("a few" in found[i].text for i in range(300, 500))
+
+
+def test_texts_without_an_id_keep_a_line_once(docs_of):
+    line = "the same line on both of the sites"
+    for ids in ((None, None), (1, 1), (1, 2)):
+        rows = [(ids[0], line + "\nand one", "en", "a"), (ids[1], line + "\nand two", "en", "b")]
+        assert sorted(r._n_removed for r in drop_boilerplate(docs_of(rows), min_sites=2).collect()) == [0, 1]
+
+
 def test_boilerplate_in_odd_rows(odd, empty, docs_of):
     out = drop_boilerplate(odd, min_sites=2)
     assert out.columns == [*odd.columns, "_n_lines", "_n_removed"]
