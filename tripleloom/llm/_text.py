@@ -60,9 +60,10 @@ class Words:
     text d are ``first[d]`` to ``first[d + 1]``.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = SPACE_TABLE, sep: int = 1):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = SPACE_TABLE, sep: int = 1, inside: np.ndarray | None = None):
+        """Words are runs of bytes that are not in ``spaces``, or for which ``inside`` holds."""
         self.sep = sep
-        inside = ~spaces[data]
+        inside = ~spaces[data] if inside is None else inside
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[offsets] = True
         before, after = edge[:-1].copy(), edge[1:].copy()

@@ -1,17 +1,21 @@
 """Language identification of mixed-language text.
 
-Every word scores under each language by its letter n-grams (one to four bytes,
-with the word's edges), learned as counts over labelled documents. The script of
-a word, told by ranges of its code points, narrows its candidates to languages
-written in that script. The best sequence of languages over a text's words, with
+A word is a run of letters and the marks on them. It scores under each language
+by its letter n-grams (two to four bytes, with the word's edges), learned as
+counts over labelled documents. The script of a word, told by the range of its
+first letter's code point, narrows its candidates to languages written in that
+script. The best sequence of languages over a text's words, with
 a penalty for every switch, labels its spans (Viterbi); a text's language is the
 one with most letters.
 
 Counts are learned from a sample of at most about ``max_train`` labelled
-documents drawn by a hash of doc_id; every text is labelled whole.
+documents drawn by a hash of doc_id, an equal number of each language as far as
+there are so many, so that rare languages are learned at every size; every text
+is labelled whole.
 
 Defined results: null text, or text without letters, is ``und`` with score 0 and
-no spans; ties go to the language first in order; repeated rows are answered
+no spans; digits, punctuation and lone dashes are no words; ties go to the
+language first in order; repeated rows are answered
 each; a null doc_id is not held out and not learned from. Without any labelled
 document every text is ``und``. Extra columns are ignored; an empty table gives
 no rows.
@@ -19,8 +23,10 @@ no rows.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +35,40 @@ from pyspark.sql import functions as F
 
 from tripleloom.llm._text import _WEIGHTS, Words, counts_of, mix, raw, row_slices
 
-LETTERS = np.zeros(256, bool)
-LETTERS[ord("a") : ord("z") + 1] = LETTERS[ord("A") : ord("Z") + 1] = LETTERS[128:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 BUCKETS = 1 << 17
 UNKNOWN = "und"
 
-#: Script of a word by the lead byte of its first letter; E0 is told apart by the second byte.
-SCRIPTS = ("latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "thai", "kana", "han", "hangul", "other")
-_BY_LEAD = np.full(256, SCRIPTS.index("other"))
-for _lo, _hi, _name in ((0x41, 0x7A, "latin"), (0xC3, 0xCA, "latin"), (0xCD, 0xCF, "greek"), (0xD0, 0xD4, "cyrillic"), (0xD6, 0xD7, "hebrew"), (0xD8, 0xDD, "arabic"), (0xE0, 0xE0, "indic"), (0xE3, 0xE3, "kana"), (0xE4, 0xE9, "han"), (0xEA, 0xED, "hangul")):
-    _BY_LEAD[_lo : _hi + 1] = SCRIPTS.index(_name)
+#: Scripts by ranges of code points; a letter outside all of them is of an ``other`` script.
+RANGES = {
+    "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x2AF), (0x1D00, 0x1D25), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA722, 0xA7FF), (0xFB00, 0xFB06), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)),
+    "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
+    "cyrillic": ((0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)),
+    "armenian": ((0x531, 0x58F), (0xFB13, 0xFB17)),
+    "hebrew": ((0x590, 0x5FF), (0xFB1D, 0xFB4F)),
+    "arabic": ((0x600, 0x6FF), (0x750, 0x77F), (0x870, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFE)),
+    "indic": ((0x900, 0xDFF),),
+    "thai": ((0xE00, 0xE7F),),
+    "georgian": ((0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)),
+    "hangul": ((0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF), (0xFFA0, 0xFFDC)),
+    "kana": ((0x3041, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9D)),
+    "han": ((0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)),
+}
+SCRIPTS = (*RANGES, "other")
+#: Code points above are no letters.
+TABLE_END = 0x323B0
+
+
+@lru_cache(maxsize=1)
+def code_points() -> tuple[np.ndarray, np.ndarray]:
+    """(0 no letter, 1 mark, 2 letter; script) of each code point under ``TABLE_END``."""
+    kind = np.fromiter(({"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(TABLE_END)), np.uint8, TABLE_END)
+    script = np.full(TABLE_END, SCRIPTS.index("other"), np.int8)
+    for name, ranges in RANGES.items():
+        for lo, hi in ranges:
+            script[lo : hi + 1] = SCRIPTS.index(name)
+    return kind, script
 
 
 @dataclass
@@ -50,9 +78,39 @@ class Model:
     scripts: np.ndarray  # [script, language] whether the language is written so
 
 
+def decoded(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte of each code point, code point) of valid UTF-8."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[at].astype(np.int32)
+    size = np.ones(len(at), np.int8)
+    for least in (0xC0, 0xE0, 0xF0):
+        size += lead >= least
+    point = np.where(size == 1, lead, lead & (0x7F >> size))
+    for k in (1, 2, 3):
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            break
+        point[more] = point[more] << 6 | (data[at[more] + k] & 0x3F)
+    return at, point
+
+
 def letter_words(texts: pa.Array) -> Words:
+    """Runs of letters and the marks on them, A-Z in lower case; with ``letters``, the letters of each word."""
     data, offsets = raw(texts)
-    return Words(LOWER[data], offsets, ~LETTERS, sep=0)
+    kind = code_points()[0]
+    if not len(data) or data.max() < 128:
+        of_byte = kind[data]
+        letter = of_byte == 2
+    else:
+        at, point = decoded(data)
+        of_point = np.where(point < TABLE_END, kind[np.minimum(point, TABLE_END - 1)], 0)
+        of_byte = np.repeat(of_point, np.diff(np.append(at, len(data))))
+        letter = np.zeros(len(data), bool)
+        letter[at] = of_point == 2
+    words = Words(LOWER[data], offsets, sep=0, inside=of_byte > 0)
+    total = np.concatenate([[0], np.cumsum(letter[of_byte > 0])])
+    words.letters = np.diff(total[words.compact_start])
+    return words
 
 
 class Distinct:
@@ -80,9 +138,15 @@ class Distinct:
                 grams.append((mix(total[fits] + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int64))
                 owners.append(owner[fits])
         self.grams, self.owners = np.concatenate(grams), np.concatenate(owners)
-        lead = data[offsets[:-1]] if self.count else np.zeros(0, np.uint8)
-        second = data[np.minimum(offsets[:-1] + 1, max(0, len(data) - 1))] if self.count else lead
-        self.scripts = np.where((lead == 0xE0) & (second >= 0xB8), SCRIPTS.index("thai"), _BY_LEAD[lead])
+        kind, script = code_points()
+        at, point = decoded(data)
+        # the script of a word is its first letter's; marks alone have no letter
+        point = np.minimum(point, TABLE_END - 1)
+        of_word = np.searchsorted(offsets, at, side="right") - 1
+        letter = np.flatnonzero(kind[point] == 2)
+        with_letter, place = np.unique(of_word[letter], return_index=True)
+        self.scripts = np.full(self.count, SCRIPTS.index("other"))
+        self.scripts[with_letter] = script[point[letter[place]]]
 
 
 def count_grams(docs: DataFrame, languages: list[str]) -> DataFrame:
@@ -112,13 +176,23 @@ def count_grams(docs: DataFrame, languages: list[str]) -> DataFrame:
     return counts.groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
 
 
+def shares(known: dict[str, int], budget: int) -> dict[str, float]:
+    """Share of each language's rows to draw: equal budgets, what a rare language leaves goes to the others."""
+    out, left = {}, budget
+    for k, (name, n) in enumerate(sorted(known.items(), key=lambda x: (x[1], x[0]))):
+        take = min(n, left / (len(known) - k))
+        out[name] = take / n
+        left -= take
+    return out
+
+
 def train(docs: DataFrame, learn, max_train: int = 40_000, min_share: float = 0.005, smooth: float = 0.5) -> Model:
     """Learn from rows of ``docs`` for which ``learn`` holds and lang is known."""
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     known = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     languages = sorted(known)
-    share = min(1.0, max_train / max(1, sum(known.values())))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(int(v * (1 << 40)))) for x, v in shares(known, max_train).items()], F.lit(0))
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share)
     size = len(languages)
     grams, scripts = np.zeros((BUCKETS, size)), np.zeros((len(SCRIPTS), size))
     if size:
@@ -207,13 +281,10 @@ def label(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([UNKNOWN] * n), pa.array(np.zeros(n)), empty], ["doc_id", "lang_pred", "score", "spans"])
                     continue
                 path = best_paths(word_scores(model, words), first, penalty)
-                letters = np.stack([counts_of(first, np.where(path == k, words.lens, 0)) for k in range(len(model.languages))], axis=1)
+                letters = np.stack([counts_of(first, np.where(path == k, words.letters, 0)) for k in range(len(model.languages))], axis=1)
                 total = letters.sum(axis=1)
                 top = letters.argmax(axis=1)
                 real = total > 0
-                plain = counts_of(first, np.array(np.maximum.reduceat(words.compact < 128, words.compact_start[:-1]), np.int64)) > 0
-                for d in np.flatnonzero(real & ~plain).tolist():  # no ASCII letter: marks alone are no letters
-                    real[d] = any(c.isalpha() for c in part.column("text")[d].as_py())
                 opens = np.zeros(words.count, bool)
                 opens[first[:-1][np.diff(first) > 0]] = True
                 opens[1:] |= path[1:] != path[:-1]
