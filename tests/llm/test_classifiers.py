@@ -1,15 +1,21 @@
 import itertools
+import math
 import random
+import re
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import ODD
+from tripleloom.llm._text import counts_of, raw
 from tripleloom.llm.decontaminate import drop_leaks, find_leaks
-from tripleloom.llm.language_id import best_paths, identify, label, train
-from tripleloom.llm.license_scan import TEMPLATES, license_report, scan
+from tripleloom.llm.language_id import SCRIPTS, TABLE_END, Distinct, best_paths, decoded, identify, label, letter_words, shares, train
+from tripleloom.llm.license_scan import FAMILIES, TEMPLATES, license_report, required_words, scan
+from tripleloom.llm.license_scan import train as train_licences
 from tripleloom.llm.quality import ABSTAIN, KEEP, REJECT, classify, estimate, keep_good
 
 EN = "the of and to in that was for with is house water people little great under never before again while".split()
@@ -52,6 +58,29 @@ def test_language_of_odd_rows(odd, empty, tongues):
     assert {r.lang_pred for r in identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("text,script,letters", [("«Привет»", "cyrillic", 6), ("“Hello", "latin", 5), ("‘tis", "latin", 3), ("（日本）", "han", 2), ("Ếch", "latin", 3), ("Ａｂｃ", "latin", 3), ("e\u0301te\u0301", "latin", 3), ("ไทย", "thai", 3), ("Ελλάδα", "greek", 6), ("한국", "hangul", 2), ("𠀀字", "han", 2)])
+def test_scripts_of_words(text, script, letters):
+    words = letter_words(pa.array(["— 12 … " + text + " 😀"]))
+    assert words.count == 1 and words.letters.tolist() == [letters]
+    assert SCRIPTS[Distinct(words).scripts[0]] == script
+
+
+def test_decoded_text_and_letters_equal_python():
+    rng = random.Random(1)
+    texts = ["".join(chr(rng.choice([rng.randrange(128), rng.randrange(0x80, 0xD800), rng.randrange(0xE000, 0x110000)])) for _ in range(rng.randrange(40))) for _ in range(200)]
+    data, offsets = raw(pa.array(texts))
+    assert decoded(data)[1].tolist() == [ord(c) for t in texts for c in t]
+    letters = [sum(unicodedata.category(c)[0] == "L" and ord(c) < TABLE_END for c in t) for t in texts]
+    words = letter_words(pa.array(texts))
+    assert counts_of(words.first, words.letters).tolist() == letters
+
+
+def test_ties_go_to_the_first_language_and_shares_favour_the_rare(docs_of):
+    same = docs_of([(i, "alpha beta gamma", lang) for i, lang in enumerate(["b", "a"] * 4)])
+    assert {r.lang_pred for r in label(same, train(same, F.lit(True))).collect()} == {"a"}
+    assert shares({"x": 10, "y": 1000, "z": 1000}, 110) == {"x": 1.0, "y": 0.05, "z": 0.05}
+
+
 def test_best_paths_equal_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(150):
@@ -190,3 +219,87 @@ def test_licences(docs_of, odd, empty):
     assert all(found[100 + i].n_licensed == 0 for i in range(60))
     assert license_report(odd).count() == len(ODD)
     assert license_report(empty).count() == 0 and scan(empty).count() == 0
+
+
+def licence_words(text):
+    return [w for w in re.split(r"[^\w]+|_", text.lower()) if w]
+
+
+def pairs(words):
+    return {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
+
+
+def paraphrases():
+    """Wordings that no template has, and licence-like prose that is none."""
+    rng = random.Random(2)
+    for family, texts in TEMPLATES.items():
+        for text in texts:
+            w = text.split()
+            yield family, f"{prose(rng, EN, 4)} {text} {prose(rng, EN, 5)}"
+            if len(w) > 6:
+                yield family, " ".join(w[:-1])
+                yield family, " ".join(w[1:])
+                yield family, " ".join([*w[:4], "kindly", *w[4:]])
+                yield family, text.upper().replace(" ", "  ")
+    for text in ("the license of the house is under the water", "all rights are reserved for little people", "he was licensed under great water", "permission to the house is granted", "a copy of this book"):
+        yield "", text
+
+
+@pytest.fixture(scope="module")
+def licence_docs(docs_of):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, EN, 30) + "\n" + text) for i, (_, text) in enumerate(paraphrases())]
+    return docs_of(rows + [(1000 + i, prose(rng, EN, 60)) for i in range(80)])
+
+
+def test_licences_equal_a_plain_computation(licence_docs):
+    """Every paragraph's score and cover, without the words that are looked for first."""
+    found = {(r.doc_id, r.pos): (r.family, round(r.probability, 6), round(r.cover, 6)) for r in scan(licence_docs, max_unknown=60).collect()}
+    table, intercepts, temperature = train_licences(licence_docs, max_unknown=60)
+    weights = {r.gram: r.weights for r in table.collect()}
+    expected = {}
+    for row in licence_docs.collect():
+        for pos, line in enumerate(row.text.split("\n")):
+            words = licence_words(line)
+            grams = [g for g in {*words, *pairs(words)} if g in weights]
+            z = [(b + sum(weights[g][k] for g in grams)) / temperature for k, b in enumerate(intercepts)]
+            k = z.index(max(z))
+            p = 1 / sum(math.exp(x - z[k]) for x in z)
+            if FAMILIES[k] == "unknown" or p < 0.5:
+                continue
+            cover = max(len(pairs(licence_words(t)) & pairs(words)) / len(pairs(licence_words(t))) for t in TEMPLATES[FAMILIES[k]])
+            if cover >= 0.6:
+                expected[row.doc_id, pos] = (FAMILIES[k], round(p, 6), round(cover, 6))
+    assert len(expected) > 60 and found == expected
+
+
+def test_licences_in_other_words(licence_docs):
+    found = {r.doc_id: r.families for r in license_report(licence_docs).collect()}
+    truth = [family for family, _ in paraphrases()]
+    right = [found[i] == family for i, family in enumerate(truth)]
+    assert np.mean([x for x, f in zip(right, truth, strict=True) if f]) >= 0.95
+    assert all(x for x, f in zip(right, truth, strict=True) if not f) and all(found[1000 + i] == "" for i in range(80))
+
+
+@pytest.mark.parametrize("cover", [0.3, 0.6, 0.9])
+def test_required_words_miss_no_cover(cover):
+    """Any part of a template that covers enough of its pairs has one of the words."""
+    rng = random.Random(3)
+    words = required_words(cover)
+    for text in (t for ts in TEMPLATES.values() for t in ts):
+        own = licence_words(text)
+        for _ in range(300):
+            part = own[rng.randrange(len(own)) :][: rng.randrange(1, len(own) + 1)]
+            if len(pairs(part) & pairs(own)) >= cover * len(pairs(own)):
+                assert any(all(w in " ".join(part) for w in form) for form in words)
+    assert required_words(0.0) == []
+
+
+def test_repeated_rows_do_not_change_a_score(docs_of):
+    """Three copies of a text, with and without an id, answer what one does."""
+    texts = ["this program is free software under the license", "the GNU general license of this library", TEMPLATES["mit"][0]]
+    for ids in ([1, 2, 3], [None] * 3):
+        one, three = (docs_of([(i, t) for i, t in zip(ids, texts, strict=True) for _ in range(n)]) for n in (1, 3))
+        answer = [sorted(set((r.version, r.family, round(r.probability, 9)) for r in scan(x, min_probability=0.0, min_cover=0.0).collect())) for x in (one, three)]
+        assert answer[0] == answer[1]
+        assert license_report(three).count() == 9

@@ -11,20 +11,32 @@ templates.
 Everything is DataFrame and ``pyspark.ml`` code in the JVM. The table of n-gram
 weights is bounded by the templates' wording, so joining it is a broadcast.
 
+Only paragraphs that can cover a template are scored: of a template's word pairs
+some few must occur in every paragraph that covers enough of it, so one of their
+words must; ``required_words`` are looked for in the text first, which loses none.
+
 A paragraph is a line with words. Defined results: null text has no paragraphs;
-a null doc_id is reported as null; repeated rows are answered each; extra columns
+a null doc_id is reported as null; repeated rows are scored once and answered
+each; a paragraph as likely of two families counts as the first; extra columns
 are ignored; an empty table gives no rows (the classifier is trained all the
 same).
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripleloom.llm._session import durable
+
 UNKNOWN = "unknown"
 
 #: Customary notices of each licence family.
@@ -93,10 +105,43 @@ def grams_of(words: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs_of(words)))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, version (hash of the text), pos, words of every paragraph."""
+def paragraphs(docs: DataFrame, wanted: Callable[[Column], Column] = lambda line: F.lit(True)) -> DataFrame:
+    """doc_id, version (hash of the text), pos, words of every paragraph, or of the wanted ones."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select("doc_id", "version", "pos", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+    return lines.where(wanted(F.col("line"))).select("doc_id", "version", "pos", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+
+
+def required_words(min_cover: float) -> list[tuple[str, ...]]:
+    """Words, or pairs of short words, one of which (as parts of a lower-case text) every paragraph has that covers ``min_cover`` of a template's pairs.
+
+    Of n pairs such a paragraph has k = ceil(min_cover * n) or more, so one of any
+    n - k + 1 of them: those are taken that are at hand already, or have a long
+    word, which is rare. Empty where nothing is required.
+    """
+    chosen: list[tuple[str, ...]] = []
+
+    def forms(pair: tuple[str, str]) -> list[tuple[float, tuple[str, ...]]]:
+        known = any(all(any(x in w for w in pair) for x in c) if len(c) > 1 else any(c[0] in w for w in pair) for c in chosen)
+        return [(0.0, pair)] if known else [(len("".join(f)) ** -3.0, f) for f in (pair[:1], pair[1:], pair) if len("".join(f)) > 4 or len(f) > 1]
+
+    for text in sorted((t for ts in TEMPLATES.values() for t in ts), key=len):
+        words = re.findall("[a-z0-9]+", text.lower())
+        left = sorted({*zip(words, words[1:], strict=False)})
+        need = math.ceil(min_cover * len(left) - 1e-9)
+        if need < 1:
+            return []
+        for _ in range(len(left) - need + 1):
+            pair = min(left, key=lambda p: (min(forms(p))[0], p))
+            left.remove(pair)
+            cost, form = min(forms(pair), key=lambda f: (len(f[1]), f))
+            if cost:
+                chosen.append(form)
+    return [c for c in chosen if not any(o != c and all(any(x in w for w in c) for x in o) for o in chosen)]
+
+
+def has_one(text: Column, words: list[tuple[str, ...]]) -> Column:
+    lower = F.lower(text)
+    return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [lower.contains(w) for w in form]) for form in words]) if words else F.lit(True)
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -113,10 +158,12 @@ def training_rows(docs: DataFrame, max_unknown: int) -> DataFrame:
     known = templates(spark)
     total = max(1, docs.count())
     drawn = docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(min(1.0, max_unknown / total) * (1 << 40))))
-    # one paragraph of each drawn document, unless it looks like a template
+    # one paragraph of each drawn document, unless it may be a licence in other words
     some = paragraphs(drawn).groupBy("doc_id", "version").agg(F.min_by("words", F.xxhash64("pos", "version")).alias("words"))
-    marks = known.select(F.collect_set(F.array_join("words", " ")).alias("texts"))
-    plain = some.join(F.broadcast(marks), F.lit(True)).where(~F.exists("texts", lambda t: F.array_join("words", " ").contains(t)))
+    forms = known.agg(F.collect_list("pairs").alias("forms"))
+    own = pairs_of(F.col("words"))
+    alike = F.exists("forms", lambda form: F.size(F.array_intersect(form, own)) >= 0.3 * F.size(form))
+    plain = durable(some.join(F.broadcast(forms), F.lit(True)).where(~alike).select("words").coalesce(4))
     around = plain.select(F.slice("words", 1, 6).alias("around")).orderBy(F.xxhash64("around")).limit(200)
     whole = known.select("family", "words")
     shorter = known.select("family", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at")).where(F.size("words") > 4)
@@ -134,7 +181,8 @@ def train(docs: DataFrame, max_unknown: int = 5_000) -> tuple[DataFrame, list[fl
     vocabulary = templates(spark).select(F.explode(grams_of(F.col("words"))).alias("gram")).distinct().orderBy("gram")
     vocabulary = [r.gram for r in vocabulary.collect()]  # the templates' wording
     rows = training_rows(docs, max_unknown).withColumn("grams", grams_of(F.col("words")))
-    vectors = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features", minTF=0.0, binary=True).transform(rows).withColumn("held", F.pmod(F.xxhash64("words"), F.lit(5)) == 0).select("label", "features", "held").cache()
+    vectors = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features", minTF=0.0, binary=True).transform(rows).withColumn("held", F.pmod(F.xxhash64("words"), F.lit(5)) == 0)
+    vectors = durable(vectors.select("label", "features", "held").coalesce(2))  # a bounded sample
     model = LogisticRegression(regParam=0.002, maxIter=60, family="multinomial").fit(vectors.where(~F.col("held")))
     known = model.coefficientMatrix.toArray()
     weights, intercepts = known.tolist(), model.interceptVector.toArray().tolist()
@@ -150,7 +198,6 @@ def train(docs: DataFrame, max_unknown: int = 5_000) -> tuple[DataFrame, list[fl
         return F.avg(F.log(total) + (F.array_max("z") - F.get("z", F.col("label").cast("int"))) / t)
 
     losses = raw.agg(*[loss(t).alias(f"t{i}") for i, t in enumerate(grid)]).first()
-    vectors.unpersist()
     temperature = min(zip(losses, grid, strict=True), key=lambda x: (x[0] is None, x[0]))[1] if losses and losses[0] is not None else 1.0
     return table, intercepts, temperature
 
@@ -160,7 +207,10 @@ def scan(docs: DataFrame, min_probability: float = 0.5, min_cover: float = 0.6,
     spark = docs.sparkSession
     table, intercepts, temperature = train(docs, max_unknown)
     n = len(FAMILIES)
-    found = paragraphs(docs)
+    words = required_words(min_cover)
+    texts = docs.select("doc_id", "text").where(has_one(F.col("text"), words))
+    # few paragraphs are left, so copies of a row are dropped here and not as whole texts
+    found = paragraphs(texts, lambda line: has_one(line, words)).dropDuplicates(["doc_id", "version", "pos"])
     hits = found.select("doc_id", "version", "pos", F.explode(grams_of(F.col("words"))).alias("gram")).join(F.broadcast(table), "gram")
     sums = hits.groupBy("doc_id", "version", "pos").agg(*[F.sum(F.get("weights", F.lit(k))).alias(f"z{k}") for k in range(n)], F.collect_set(F.when(F.col("gram").contains(" "), F.col("gram"))).alias("pairs"))
     z = F.array(*[(F.col(f"z{k}") + intercepts[k]) / temperature for k in range(n)])
