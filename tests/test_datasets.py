@@ -4,9 +4,12 @@ import json
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
+from tripleloom.functions import metrics as M
 from tripleloom.operators import analytics as A
 from tripleloom.operators import datasets as D
+from tripleloom.operators.pairs import pairs_within
 
 
 @pytest.fixture(scope="module")
@@ -54,8 +57,57 @@ def test_plans(plans):
 
 def test_verdicts(spark):
     rows = [(1, 0, 5.0, False), (1, 1, 4.0, False), (2, 0, 5.0, False), (2, 1, 6.0, False), (3, 0, 5.0, False), (4, 0, 5.0, False), (4, 1, 5.0, False), (5, 0, 9.0, True), (5, 1, 4.0, False), (6, 0, 5.0, False), (6, 1, 3.0, True)]
+    # a censored cost is a lower bound: no lower than the best exact plan without, it has lost
+    rows += [(7, 0, 5.0, False), (7, 1, 9.0, True), (8, 0, 5.0, False), (8, 1, 5.0, True), (9, 0, 5.0, False), (9, 0, 2.0, True), (9, 1, 4.0, False), (10, 0, 5.0, False), (10, 1, 4.0, False), (10, 1, 1.0, True)]
     found = D.verdicts(spark.createDataFrame(rows, "group_id int, cartesian int, y double, censored boolean")).collect()
-    assert {r.group_id: r.verdict for r in found} == {1: "cartesian", 2: "connected", 3: "free", 4: "tie", 5: "unknown", 6: "unknown"}
+    assert {r.group_id: r.verdict for r in found} == {1: "cartesian", 2: "connected", 3: "free", 4: "tie", 5: "unknown", 6: "unknown", 7: "connected", 8: "connected", 9: "cartesian", 10: "cartesian"}
+
+
+def test_plans_are_stored_by_source(spark, plans, tmp_path):
+    both = D.combined(a=plans, b=plans.where("group_id = 1"))
+    D.write_plans(both, str(tmp_path / "p"))
+    assert D.read_plans(spark, str(tmp_path / "p")).count() == both.count() and D.read_plans(spark, str(tmp_path / "p"), ["b"]).count() == 3
+
+
+def test_queries_are_written_and_read(spark, stored, tmp_path):
+    D.write_queries(stored, str(tmp_path / "q"))
+    back = D.read_queries(spark, str(tmp_path / "q"), lines=True)
+    assert sorted((r.query_id, r.y or 0) for r in back.collect()) == sorted((r.query_id, r.y or 0) for r in stored.collect())
+
+
+def test_assembled_plans(spark):
+    triples = [("?x", "p", "?y"), ("?y", "q", "?z"), ("?u", "q", "a")]
+    rows = [(triples, [0, 1, 2], 10, False), (triples, [0, 2, 1], 30, False), (triples, [1, 0, 2], 5, True), (triples, [2, 1, 0], 0, False)]
+    costs = spark.createDataFrame(rows, "triples array<struct<s:string,p:string,o:string>>, ord array<int>, c_out long, censored boolean")
+    found = D.assembled(costs).orderBy("y").collect()
+    assert [(r.y, r.cartesian, r.size, len(r.edges)) for r in found] == [(10, True, 3, 4), (30, True, 3, 4)] and found[0].group_id == found[1].group_id
+
+
+def test_large_groups_meet_in_parts(spark, plans):
+    for size in (1, 2, 100):
+        pairs = pairs_within(plans, ["group_id"], ["plan_id"], size).collect()
+        assert sorted((r.group_id, r.a.plan_id, r.b.plan_id) for r in pairs) == sorted((g, a, b) for g, m in ((1, "abc"), (2, "a"), (3, "ab"), (4, "ab")) for a in m for b in m)
+
+
+def test_result_and_history_files(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps([{"query_id": 1, "ntriplepattern": 3, "plans": {"a": {"predicted_cost": 2.0, "real_cost": float("inf")}, "b": {"predicted_cost": 1.0}}}, {"query_id": 2}, {"query_id": 3, "plans": {"a": {"real_cost": 7.0, "predicted_cost": 1}}}]))
+    found = {(r.query_id, r.method): (r["size"], r.predicted_cost, r.real_cost) for r in A.read_results(spark, str(tmp_path / "r.json")).collect()}
+    assert found == {(1, "a"): (3, 2.0, None), (1, "b"): (3, 1.0, None), (3, "a"): (0, 1.0, 7.0)}
+    (tmp_path / "h.json").write_text(json.dumps([{"iteration": k, "loss": float(k % 5 + (k % 2) * 10), "params": {"x": float(k % 2), **({"y": 1.0} if k % 3 else {})}} for k in range(40)]))
+    history = A.read_history(spark, str(tmp_path / "h.json"), ["x", "y"])
+    assert history.count() == 40 and history.where("y IS NULL").count() == 14
+    weights = {r["column"]: r.importance for r in A.importance(history, ["x", "y"], trees=20).collect()}
+    assert weights["x"] > 0.8
+    ends = A.extremes(history, share=0.2).groupBy("bucket").agg({"loss": "max"}).collect()
+    assert {r[0] for r in ends} == {"best", "worst"}
+
+
+def test_samples_by_size_and_scalar_metrics(spark):
+    queries = spark.createDataFrame([(i, i % 3) for i in range(90)], "query_id int, size int")
+    parts = [{r.query_id for r in A.sample_by_size(queries, 10, 1, skip).collect()} for skip in (0, 10, 20)]
+    assert set.union(*parts) == set(range(90)) and sum(map(len, parts)) == 90
+    row = spark.range(1).select(M.squash(F.lit(-3.0)).alias("a"), M.q_error_log(F.lit(1.0), F.lit(2.0)).alias("b"), M.shown(F.lit(1236.0), F.lit(True)).alias("c"), M.orders_of_magnitude(F.lit(1000.0), F.lit(10.0)).alias("d"), M.ramp(F.lit(5), 0.0, 1.0, 10).alias("e"), M.ramp(F.lit(50), 0.0, 1.0, 10).alias("f")).first()
+    assert row.a == pytest.approx(-math.log(4)) and row.b == pytest.approx(math.e) and row.c == ">=1.236e+03" and row.d == pytest.approx(2.0) and (row.e, row.f) == (0.5, 1.0)
 
 
 def test_quotas_and_blocks(spark):

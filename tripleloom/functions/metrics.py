@@ -55,3 +55,16 @@ def orders_of_magnitude(a: Column, b: Column) -> Column:
 def ramp(step: Column, start: float, end: float, steps: int) -> Column:
     """Linear from start to end, then flat."""
     return F.lit(start) + (end - start) * F.least(step / F.lit(float(steps)), F.lit(1.0))
+
+
+def annealed(step: Column, steps: int, start: float, least: float) -> Column:
+    """Temperature falling linearly from start, never under ``least``."""
+    return F.greatest(F.lit(least), start * (1 - step / F.lit(float(max(1, steps)))))
+
+
+def one_cycle(step: Column, steps: int, peak: float, warm: float = 0.2, start_div: float = 5.0, end_div: float = 20.0) -> Column:
+    """A rate that rises by a cosine from peak / start_div to the peak and falls to a part of the start."""
+    turn = max(1.0, warm * steps - 1)
+    cosine = lambda a, b, x: b + (a - b) * (1 + F.cos(F.pi() * x)) / 2
+    after = F.least(F.lit(1.0), (step - turn) / F.lit(max(1.0, steps - 1 - turn)))
+    return F.when(step <= turn, cosine(peak / start_div, peak, step / F.lit(turn))).otherwise(cosine(peak, peak / start_div / end_div, after))

@@ -6,10 +6,12 @@ NULL, NaN or infinite is missing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripleloom.functions import metrics as M
+from tripleloom.operators.pairs import pairs_within
+from tripleloom.plans.table import draw
 
 
 def clean(results: DataFrame) -> DataFrame:
@@ -22,14 +24,10 @@ def wide(results: DataFrame, methods: list[str], value: str = "real_cost") -> Da
 
 
 def win_rates(results: DataFrame, tie: float = 0.01) -> DataFrame:
-    """a, b, wins, losses, rate: a wins where it is cheaper by more than ``tie`` of the larger cost; 0.5 if all are ties.
-
-    Rows of one query meet once: methods are gathered by query, so the pairs are of methods, not of rows.
-    """
+    """a, b, wins, losses, rate: a wins where it is cheaper by more than ``tie`` of the larger cost; 0.5 if all are ties."""
     known = clean(results).where(F.col("real_cost").isNotNull())
-    by_query = known.groupBy("query_id").agg(F.collect_list(F.struct("method", "real_cost")).alias("m"))
+    pairs = pairs_within(known, ["query_id"], ["method", "real_cost"]).where(F.col("a.method") != F.col("b.method"))
     a, b = F.col("a.real_cost"), F.col("b.real_cost")
-    pairs = by_query.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).where(F.col("a.method") != F.col("b.method"))
     apart = F.abs(b - a) / F.greatest(a, b) >= tie
     counted = pairs.groupBy(F.col("a.method").alias("a"), F.col("b.method").alias("b")).agg(F.count_if(apart & (a < b)).alias("wins"), F.count_if(apart & (a > b)).alias("losses"))
     total = F.col("wins") + F.col("losses")
@@ -75,16 +73,17 @@ def box(results: DataFrame) -> DataFrame:
 
 
 def q_error_summary(results: DataFrame) -> DataFrame:
-    """Mean, lower median, median and 95th percentile of q-errors by size."""
-    rows = clean(results).where((F.col("real_cost") > 0) & (F.col("predicted_cost") > 0)).withColumn("q", M.q_error(F.col("real_cost"), F.col("predicted_cost")))
-    return rows.groupBy("size").agg(F.avg("q").alias("mean"), F.percentile("q", 0.5).alias("median"), F.percentile("q", 0.95).alias("p95"), F.count(F.lit(1)).alias("n"))
+    """Mean, lower median, median and 95th percentile of q-errors, and mean squared error of log costs, by size."""
+    true, predicted = F.col("real_cost"), F.col("predicted_cost")
+    rows = clean(results).where((true > 0) & (predicted > 0)).withColumn("q", M.q_error(true, predicted)).withColumn("e", F.ln(true) - F.ln(predicted))
+    lower = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY q)")
+    return rows.groupBy("size").agg(F.avg("q").alias("mean"), lower.alias("lower_median"), F.percentile("q", 0.5).alias("median"), F.percentile("q", 0.95).alias("p95"), F.avg(F.col("e") * F.col("e")).alias("mse"), F.count(F.lit(1)).alias("n"))
 
 
 def pair_accuracy(results: DataFrame) -> DataFrame:
     """Share of pairs of a query's plans with different true cost that the prediction orders rightly, by size."""
     known = clean(results).where(F.col("real_cost").isNotNull() & F.col("predicted_cost").isNotNull())
-    plans = known.groupBy("query_id", "size").agg(F.collect_list(F.struct("real_cost", "predicted_cost")).alias("m"))
-    pairs = plans.select("size", F.explode("m").alias("a"), "m").select("size", "a", F.explode("m").alias("b")).where(F.col("a.real_cost") < F.col("b.real_cost"))
+    pairs = pairs_within(known, ["query_id", "size"], ["method", "real_cost", "predicted_cost"]).where(F.col("a.real_cost") < F.col("b.real_cost"))
     return pairs.groupBy("size").agg(F.count(F.lit(1)).alias("pairs"), F.avg((F.col("a.predicted_cost") < F.col("b.predicted_cost")).cast("double")).alias("accuracy"))
 
 
@@ -101,7 +100,7 @@ def running_best(history: DataFrame, study: str = "study", at: str = "iteration"
 def best_of_n(results: DataFrame, ns: list[int], seed: int = 0) -> DataFrame:
     """n, median, mean and population deviation of the best of n draws without replacement from each query's plans."""
     known = clean(results).where(F.col("real_cost").isNotNull())
-    drawn = known.withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy(F.xxhash64(F.lit(seed), "query_id", "method"), "method")))
+    drawn = known.withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy(draw(seed, F.col("query_id"), F.col("method")), "method")))
     mins = drawn.groupBy("query_id").agg(*[F.min(F.when(F.col("i") <= n, F.col("real_cost"))).alias(f"n{n}") for n in ns])
     long = mins.select(F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"n{n}").alias("best")) for n in ns])).alias("x")).select("x.*")
     return long.groupBy("n").agg(F.median("best").alias("median"), F.avg("best").alias("mean"), F.stddev_pop("best").alias("deviation"))
@@ -132,7 +131,7 @@ def plan_ranks(results: DataFrame) -> DataFrame:
 
 def sample_by_size(queries: DataFrame, per_size: int, seed: int = 0, skip: int = 0) -> DataFrame:
     """At most ``per_size`` queries of each size after the first ``skip``, in the order of a seeded hash."""
-    n = F.row_number().over(Window.partitionBy("size").orderBy(F.xxhash64(F.lit(seed), "query_id"), "query_id"))
+    n = F.row_number().over(Window.partitionBy("size").orderBy(draw(seed, F.col("query_id")), "query_id"))
     return queries.withColumn("_n", n).where((F.col("_n") > skip) & (F.col("_n") <= skip + per_size)).drop("_n")
 
 
@@ -146,3 +145,43 @@ def normalised(df: DataFrame, column: str) -> DataFrame:
     """Min-max to 0..1; a constant column gives 0."""
     ends = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     return df.crossJoin(F.broadcast(ends)).withColumn(column, F.when(F.col("_hi") > F.col("_lo"), (F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)).drop("_lo", "_hi")
+
+
+def extremes(history: DataFrame, value: str = "loss", share: float = 0.2) -> DataFrame:
+    """``history`` with bucket: ``best`` up to the ``share`` quantile, ``worst`` from the 1 - share quantile, the rows between dropped."""
+    ends = history.agg(F.percentile(value, [share, 1 - share]).alias("_ends"))
+    v = F.col(value)
+    bucket = F.when(v <= F.col("_ends")[0], "best").when(v >= F.col("_ends")[1], "worst")
+    return history.where(v.isNotNull()).crossJoin(F.broadcast(ends)).withColumn("bucket", bucket).where("bucket IS NOT NULL").drop("_ends")  # one row
+
+
+def importance(history: DataFrame, columns: list[str], value: str = "loss", trees: int = 100, seed: int = 0) -> DataFrame:
+    """column, importance: of a random forest that predicts ``value``; a missing parameter counts as its median."""
+    from pyspark.ml.feature import Imputer, VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    rows = history.where(F.col(value).isNotNull()).select(*[F.col(c).cast("double").alias(c) for c in columns], F.col(value).cast("double").alias("_value"))
+    filled = Imputer(strategy="median", inputCols=columns, outputCols=columns).fit(rows).transform(rows)
+    points = VectorAssembler(inputCols=columns, outputCol="_features").transform(filled)
+    model = RandomForestRegressor(featuresCol="_features", labelCol="_value", numTrees=trees, featureSubsetStrategy="sqrt", seed=seed).fit(points)
+    return history.sparkSession.createDataFrame([(c, float(x)) for c, x in zip(columns, model.featureImportances.toArray(), strict=True)], "column string, importance double")
+
+
+RESULTS_JSON = "query_id long, ntriplepattern int, plans map<string, struct<predicted_cost: double, real_cost: double>>"
+
+
+def unpacked_results(packed: DataFrame) -> DataFrame:
+    """results of one row a query with plans by method; queries without plans have none, infinite costs are missing."""
+    long = packed.where(F.col("plans").isNotNull()).select("query_id", F.coalesce("ntriplepattern", F.lit(0)).alias("size"), F.explode("plans").alias("method", "x"))
+    return clean(long.select("query_id", "size", "method", "x.predicted_cost", "x.real_cost"))
+
+
+def read_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """results of JSON files of ``[{query_id, ntriplepattern, plans: {method: {predicted_cost, real_cost}}}, ...]``."""
+    return unpacked_results(spark.read.schema(RESULTS_JSON).json(path, multiLine=not lines))
+
+
+def read_history(spark: SparkSession, path: str, parameters: list[str], lines: bool = False) -> DataFrame:
+    """iteration, loss and a column for each parameter of JSON files of ``[{iteration, loss, params: {...}}, ...]``."""
+    raw = spark.read.schema("iteration long, loss double, params map<string, double>").json(path, multiLine=not lines)
+    return raw.select("iteration", M.finite(F.col("loss")).alias("loss"), *[F.col("params")[p].alias(p) for p in parameters])

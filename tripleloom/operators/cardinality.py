@@ -1,9 +1,11 @@
-"""Exact cardinalities of sub-patterns and the cost of left-deep orders.
+"""Exact cardinalities of sub-patterns and the cost of plans.
 
-The cost of an order is the sum of the result sizes of its joins. A set of
+The cost of a plan is the sum of the result sizes of its joins. A set of
 patterns falls into components without common variables; each component is
-counted once, whatever orders need it, and the product of components is never
-executed as a join.
+counted once, whatever plans need it, and the product of components is never
+executed as a join. A connected set is counted from a smaller one: what is kept
+of it are the bindings of the variables that other patterns share, with their
+multiplicities, one written table for all sets of a size.
 """
 
 from __future__ import annotations
@@ -12,10 +14,12 @@ from collections.abc import Iterable, Sequence
 from functools import reduce
 from itertools import combinations, permutations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleloom.plans.bgp import Pattern, canonical, cartesian_joins, components, count, key_of
+from tripleloom.plans import table as T
+from tripleloom.plans.bgp import Pattern, components, key_of, scan
+from tripleloom.session import durable
 
 
 def union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -26,22 +30,85 @@ def subsets(n: int) -> list[tuple[int, ...]]:
     return [c for k in range(1, n + 1) for c in combinations(range(n), k)]
 
 
+def grown_from(patterns: Sequence[Pattern], wanted: Iterable[tuple[int, ...]]) -> dict[tuple[int, ...], int | None]:
+    """The connected sets to count for the wanted ones: each set's last pattern, without which it is connected and in the table too."""
+    out: dict[tuple[int, ...], int | None] = {}
+    todo = sorted(set(wanted), key=lambda c: (-len(c), c))
+    while todo:
+        here = todo.pop(0)
+        if here in out:
+            continue
+        smaller = {i: tuple(j for j in here if j != i) for i in here} if len(here) > 1 else {}
+        smaller = {i: x for i, x in smaller.items() if len(components(patterns, x)) == 1}
+        # one that is counted anyway, if there is any
+        out[here] = min(smaller, key=lambda i: (smaller[i] not in out and smaller[i] not in todo, smaller[i])) if smaller else None
+        if smaller and smaller[out[here]] not in out:
+            todo = sorted({*todo, smaller[out[here]]}, key=lambda c: (-len(c), c))
+    return out
+
+
+def connected_counts(kg: DataFrame, patterns: Sequence[Pattern], wanted: Iterable[tuple[int, ...]]) -> DataFrame:
+    """mask, cnt of connected sets of patterns, one job for each size: linear in the sets counted."""
+    last = grown_from(patterns, wanted)
+    used = sorted({i for c in last for i in c})
+    names = sorted({v for i in used for v in patterns[i].variables})
+    column = {v: f"v{k}" for k, v in enumerate(names)}
+    mask_of = lambda c: sum(1 << i for i in c)
+
+    def live(members: tuple[int, ...]) -> list[str]:
+        """Variables that patterns outside still need."""
+        inside = {v for i in members for v in patterns[i].variables}
+        return [v for v in names if v in inside and any(v in patterns[i].variables for i in used if i not in members)]
+
+    def stored(df: DataFrame, members: tuple[int, ...]) -> DataFrame:
+        kept = live(members)
+        return df.select(F.lit(mask_of(members)).alias("mask"), *[(F.col(column[v]) if v in kept else F.lit(None).cast("string")).alias(column[v]) for v in names], "m")
+
+    def read(level: DataFrame, members: tuple[int, ...]) -> DataFrame:
+        return level.where(F.col("mask") == mask_of(members)).select(*[column[v] for v in live(members)], "m")
+
+    def grouped(df: DataFrame, members: tuple[int, ...], m) -> DataFrame:
+        total = F.coalesce(F.sum(m), F.lit(0)).cast("decimal(38,0)").alias("m")
+        return stored(df.groupBy(*[column[v] for v in live(members)]).agg(total), members)
+
+    def scanned(i: int) -> DataFrame:
+        found = scan(kg, patterns[i])
+        return grouped(found.select(*[F.col(v[1:]).alias(column[v]) for v in patterns[i].variables], F.lit(1).cast("decimal(38,0)").alias("m")), (i,), F.col("m"))
+
+    singles = durable(union([scanned(i) for i in used]))
+    level, counts = singles, [singles]
+    for size in range(2, max(map(len, last), default=1) + 1):
+        parts = []
+        for members in sorted(c for c in last if len(c) == size):
+            i = last[members]
+            before = tuple(j for j in members if j != i)
+            right = read(singles, (i,)).withColumnRenamed("m", "n")
+            keys = [column[v] for v in live(before) if v in patterns[i].variables]
+            parts.append(grouped(read(level, before).join(right, keys), members, (F.col("m") * F.col("n")).cast("decimal(38,0)")))
+        level = durable(union(parts))
+        counts.append(level)
+    sizes = union([x.select("mask", "m") for x in counts]).groupBy("mask").agg(F.sum("m").cast("decimal(38,0)").alias("m"))
+    masks = kg.sparkSession.createDataFrame([(mask_of(c),) for c in sorted(set(wanted))], "mask int")
+    return F.broadcast(masks).join(sizes, "mask").select("mask", F.col("m").cast("long").alias("cnt"))
+
+
 def component_counts(kg: DataFrame, patterns: Sequence[Pattern], wanted: Iterable[tuple[int, ...]], cache: DataFrame | None = None) -> DataFrame:
-    """key, mask, cnt of every distinct component of the wanted sets, counted in one job.
+    """key, mask, cnt of every distinct component of the wanted sets.
 
-    ``cache`` (key, cnt) holds what is known already; only the rest is counted.
+    ``cache`` (key, cnt) holds what is known already; only the rest is counted. A
+    cnt of -1 there is a count that failed: it is not tried again.
     """
     spark = kg.sparkSession
     parts = sorted({c for w in wanted for c in components(patterns, w)})
     names = spark.createDataFrame([(key_of(patterns, c), sum(1 << i for i in c)) for c in parts], "key string, mask int")
-    known: set[str] = set()
-    if cache is not None:
-        known = {r.key for r in cache.join(F.broadcast(names), "key").select("key").collect()}
-    fresh = [count(kg, [patterns[i] for i in c]).withColumn("key", F.lit(key_of(patterns, c))) for c in parts if key_of(patterns, c) not in known]
-    counted = [x.select("key", "cnt") for x in fresh]
-    if known:
-        counted.append(cache.select("key", "cnt"))
-    return names.join(union(counted), "key").select("key", "mask", "cnt")
+    if cache is None:
+        return names.join(connected_counts(kg, patterns, parts), "mask").select("key", "mask", "cnt")
+    known = cache.join(F.broadcast(names), "key").groupBy("key", "mask").agg(F.first("cnt").alias("cnt"))
+    found = {r.key for r in known.select("key").collect()}  # components of one query
+    fresh = [c for c in parts if key_of(patterns, c) not in found]
+    if not fresh:
+        return known.select("key", "mask", "cnt")
+    return known.select("key", "mask", "cnt").unionByName(names.join(connected_counts(kg, patterns, fresh), "mask").select("key", "mask", "cnt"))
 
 
 def remember(cache: DataFrame | None, counted: DataFrame) -> DataFrame:
@@ -51,14 +118,15 @@ def remember(cache: DataFrame | None, counted: DataFrame) -> DataFrame:
 
 
 def subset_cards(kg: DataFrame, patterns: Sequence[Pattern], wanted: Sequence[tuple[int, ...]] | None = None, cache: DataFrame | None = None) -> DataFrame:
-    """mask, card (decimal) of sets of patterns; NULL where the product overflows."""
+    """mask, card (decimal) of sets of patterns; NULL where the product overflows or a count failed."""
     wanted = list(wanted or subsets(len(patterns)))
     counts = component_counts(kg, patterns, wanted, cache)
     rows = [(sum(1 << i for i in w), sum(1 << i for i in c)) for w in wanted for c in components(patterns, w)]
     parts = kg.sparkSession.createDataFrame(rows, "mask int, part int")
     joined = F.broadcast(parts).join(counts.select(F.col("mask").alias("part"), "cnt"), "part")
-    product = F.aggregate(F.collect_list(F.col("cnt").cast("decimal(38,0)")), F.lit(1).cast("decimal(38,0)"), lambda acc, x: F.try_multiply(acc, x).cast("decimal(38,0)"))
-    return joined.groupBy("mask").agg(product.alias("card"))
+    product = F.aggregate(F.collect_list(F.when(F.col("cnt") >= 0, F.col("cnt")).cast("decimal(38,0)")), F.lit(1).cast("decimal(38,0)"), lambda acc, x: F.try_multiply(acc, x).cast("decimal(38,0)"))
+    failed = F.bool_or(F.col("cnt") < 0)
+    return joined.groupBy("mask").agg(F.when(~failed, product).alias("card"))
 
 
 def order_table(spark: SparkSession, orders: Iterable[Sequence[int]]) -> DataFrame:
@@ -91,54 +159,36 @@ def best(costs: DataFrame, worst: bool = False) -> DataFrame:
     return costs.where(~F.col("censored")).agg(pick(F.struct("order_id", "ord", "c_out"), rank).alias("x")).select("x.*")
 
 
-def beam(kg_cards: DataFrame, patterns: Sequence[Pattern], width: int, worst: bool = False, avoid_cartesian: bool = False) -> list[tuple[list[int], float]]:
-    """Beam search over true costs, with every candidate's size read from ``kg_cards`` (mask, card).
+def tree_costs(plans: DataFrame, cards: DataFrame, n: int) -> DataFrame:
+    """plan_id, c_out, censored of plans of any shape (plan_id, edges) over n patterns; NULL where the edges are no tree."""
+    joins = plans.select("plan_id", T.tree_patterns(F.col("edges"), F.lit(n)).alias("joins"))
+    good = ~F.exists("joins", lambda x: x.isNull())
+    masks = joins.select("plan_id", F.explode_outer(F.when(good, T.masks_of(F.col("joins")))).alias("mask"))
+    found = masks.join(F.broadcast(cards), "mask", "left")  # sets of one query's patterns
+    return found.groupBy("plan_id").agg(F.sum("card").cast("decimal(38,0)").alias("c_out"), F.bool_or(F.col("mask").isNotNull() & F.col("card").isNull()).alias("censored"))
 
-    Starts from the ``width`` smallest (largest) scans at cost 0; the cost grows
-    by the size of every join; ties go to the lexicographically first order.
-    """
-    cards = {r.mask: int(r.card) for r in kg_cards.collect() if r.card is not None}  # sets of one query's patterns
-    sign = -1 if worst else 1
-    n = len(patterns)
-    start = sorted((i for i in range(n) if 1 << i in cards), key=lambda i: (sign * cards[1 << i], i))[:width]
-    states = [([i], 0) for i in start]
-    for _ in range(n - 1):
-        grown = []
-        for order, cost in states:
-            seen = set().union(*(patterns[i].variables for i in order))
-            for i in sorted(set(range(n)) - set(order)):
-                if avoid_cartesian and not patterns[i].variables & seen:
-                    continue
-                mask = sum(1 << j for j in (*order, i))
-                if mask in cards:
-                    grown.append(([*order, i], cost + cards[mask]))
-        states = sorted(grown, key=lambda x: (sign * x[1], x[0]))[:width]
-    return [(o, c) for o, c in states if len(o) == n]
-
-
-def fanout_bound(patterns: Sequence[Pattern], order: Sequence[int], stats: dict[str, dict[str, int]]) -> int:
-    """An upper bound of a connected order's final size from predicates' counts and largest degrees.
-
-    A join over a bound subject multiplies by the most objects a subject has, one
-    over a bound object by the most subjects an object has.
+
+def card_targets(orders: DataFrame, cards: DataFrame) -> DataFrame:
+    """order_id, ord, k, target, valid: the log size of each join's result; 0 and not valid where it is unknown or empty."""
+    steps = prefix_cards(orders, cards).where("k >= 2")
+    valid = F.coalesce(F.col("card") > 0, F.lit(False))
+    return steps.select("order_id", "ord", "k", F.when(valid, F.ln(F.col("card").cast("double"))).otherwise(0.0).alias("target"), valid.alias("valid"))
+
+
+def fanout_bounds(orders: DataFrame, stats: DataFrame) -> DataFrame:
+    """query_id, plan_id, log_bound: the log of an upper bound of each order's final size (query_id, plan_id, triples, ord).
+
+    A join over a bound subject multiplies by the most objects a subject of the
+    predicate has, one over a bound object by the most subjects an object has, one
+    over neither by the predicate's triples.
     """
-    seen: set[str] = set()
-    bound = 1
-    for k, i in enumerate(order):
-        p = patterns[i]
-        s = stats[p.p]
-        s_bound, o_bound = p.s in seen or not p.s.startswith("?"), p.o in seen or not p.o.startswith("?")
-        if s_bound and o_bound:
-            factor = 1
-        elif s_bound:
-            factor = s["max_out"]
-        elif o_bound:
-            factor = s["max_in"]
-        else:
-            factor = s["count"]
-        bound *= factor
-        seen |= p.variables
-    return bound
-
-
-__all__ = ["all_orders", "beam", "best", "c_out", "canonical", "cartesian_joins", "component_counts", "fanout_bound", "order_table", "prefix_cards", "remember", "subset_cards", "subsets", "union"]
+    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<struct<p:string,sb:boolean,ob:boolean>>").alias("steps"))
+
+    def step(acc: Column, i: Column) -> Column:
+        t = F.get(F.col("triples"), i)
+        bound = lambda x: ~T.is_variable(x) | F.array_contains(acc["seen"], x)
+        return F.struct(F.array_union(acc["seen"], F.array(t["s"], t["p"], t["o"])).alias("seen"), F.concat(acc["steps"], F.array(F.struct(t["p"].alias("p"), bound(t["s"]).alias("sb"), bound(t["o"]).alias("ob")))).alias("steps"))
+
+    steps = orders.select("query_id", "plan_id", F.explode(F.aggregate("ord", start, step, lambda acc: acc["steps"])).alias("x")).select("query_id", "plan_id", "x.*")
+    factor = F.when(F.col("sb") & F.col("ob"), F.lit(1)).when(F.col("sb"), F.col("max_out")).when(F.col("ob"), F.col("max_in")).otherwise(F.col("count"))
+    return steps.join(stats, "p").groupBy("query_id", "plan_id").agg(F.sum(F.ln(factor.cast("double"))).alias("log_bound"))

@@ -10,22 +10,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tripleloom.operators.pairs import pairs_within
+from tripleloom.plans.table import cartesian_joins, draw, is_variable, left_deep_edges, names_of
+
 ATOMS = ("s", "p", "o")
 
 
-def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """Queries of JSON files of ``[{"triples": [[s, p, o(, ".")], ...], "y": n}, ...]``; a missing y is NULL."""
-    raw = spark.read.schema("triples array<array<string>>, y long").json(path, multiLine=True)
+def read_queries(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Queries of JSON files of ``[{"triples": [[s, p, o(, ".")], ...], "y": n}, ...]``; a missing y is NULL.
+
+    A file of one array is read by one task; with ``lines`` each line is a query,
+    and a file is split.
+    """
+    raw = spark.read.schema("triples array<array<string>>, y long").json(path, multiLine=not lines)
     triples = F.transform("triples", lambda t: F.struct(*[t[i].alias(a) for i, a in enumerate(ATOMS)]))
-    return raw.select(F.sha1(F.to_json("triples")).alias("query_id"), triples.alias("triples"), "y")
+    return raw.select(triples.alias("triples"), "y").select(F.sha1(F.to_json("triples")).alias("query_id"), "triples", "y")
 
 
 def write_queries(queries: DataFrame, path: str) -> None:
-    queries.write.mode("overwrite").json(path)
-
-
-def is_variable(term: Column) -> Column:
-    return term.startswith("?")
+    """One query a line, its patterns as arrays: what ``read_queries`` reads with ``lines``."""
+    queries.select(F.transform("triples", lambda t: F.array(t["s"], t["p"], t["o"])).alias("triples"), "y").write.mode("overwrite").json(path)
 
 
 def all_variable(triple: Column) -> Column:
@@ -94,27 +98,42 @@ def split(plans: DataFrame, parts: int = 10, held: int = 0, seed: int = 0) -> Da
 
 
 def rank_pairs(plans: DataFrame) -> DataFrame:
-    """Pairs of a group's plans with different cost, the cheaper as a; by way of gathered groups, which are one query's plans."""
-    groups = plans.groupBy("group_id").agg(F.collect_list(F.struct("plan_id", "y", "prediction")).alias("m"))
-    ranked = groups.select("group_id", F.size("m").alias("n"), F.transform(F.array_sort("m", lambda a, b: F.when(a["y"] < b["y"], -1).when(a["y"] > b["y"], 1).when(a["plan_id"] < b["plan_id"], -1).otherwise(1)), lambda x, i: F.struct(x.alias("plan"), i.alias("rank"))).alias("m"))
-    rows = ranked.select("group_id", "n", F.explode("m").alias("a"), "m").select("group_id", "n", "a", F.explode("m").alias("b"))
-    return rows.where(F.col("a.plan.y") < F.col("b.plan.y"))
+    """group_id, a, b: pairs of a group's plans (plan_id, y, prediction, n, rank) with different cost, the cheaper as a.
+
+    n is the number of the group's plans, rank a plan's place by cost.
+    """
+    w = Window.partitionBy("group_id")
+    ranked = plans.select("group_id", "plan_id", "y", "prediction", F.count(F.lit(1)).over(w).alias("n"), (F.row_number().over(w.orderBy("y", "plan_id")) - 1).alias("rank"))
+    return pairs_within(ranked, ["group_id"], ["plan_id", "y", "prediction", "n", "rank"]).where(F.col("a.y") < F.col("b.y"))
 
 
 def ranking_loss(plans: DataFrame, beta: float = 1.0) -> DataFrame:
     """Weighted pairwise logistic loss and accuracy by group; a pair weighs 1 / (1 + beta * the better rank)."""
     pairs = rank_pairs(plans)
-    gap = F.col("b.plan.prediction") - F.col("a.plan.prediction")
+    gap = F.col("b.prediction") - F.col("a.prediction")
     weight = 1 / (1 + beta * F.least("a.rank", "b.rank"))
     loss = F.greatest(-gap, F.lit(0.0)) + F.log1p(F.exp(-F.abs(gap)))
     return pairs.groupBy("group_id").agg((F.sum(weight * loss) / F.sum(weight)).alias("loss"), F.avg((gap > 0).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("pairs"))
 
 
+def total_ranking_loss(plans: DataFrame, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
+    """One row: the loss over all groups, where a pair also weighs (size of a's query * size of b's) ** (alpha / 2).
+
+    ``plans`` has ``size``, the number of patterns of the plan's query.
+    """
+    pairs = pairs_within(plans.select("group_id", "plan_id", "y", "prediction", "size", (F.row_number().over(Window.partitionBy("group_id").orderBy("y", "plan_id")) - 1).alias("rank")), ["group_id"], ["plan_id", "y", "prediction", "size", "rank"]).where(F.col("a.y") < F.col("b.y"))
+    gap = F.col("b.prediction") - F.col("a.prediction")
+    weight = F.pow(F.col("a.size") * F.col("b.size"), F.lit(alpha / 2)) / (1 + beta * F.least("a.rank", "b.rank"))
+    loss = F.greatest(-gap, F.lit(0.0)) + F.log1p(F.exp(-F.abs(gap)))
+    return pairs.agg((F.sum(weight * loss) / F.sum(weight)).alias("loss"), F.avg((gap > 0).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("pairs"))
+
+
 def contrast(plans: DataFrame, seed: int = 0) -> DataFrame:
     """One (good, bad) pair of plans with different cost of each group, by a seeded hash."""
     pairs = rank_pairs(plans)
-    pick = F.min_by(F.struct(F.col("a.plan.plan_id").alias("good"), F.col("b.plan.plan_id").alias("bad")), F.struct(F.xxhash64(F.lit(seed), "a.plan.plan_id", "b.plan.plan_id"), "a.plan.plan_id", "b.plan.plan_id"))
-    return pairs.groupBy("group_id").agg(pick.alias("x")).select("group_id", "x.*")
+    good, bad = F.col("a.plan_id"), F.col("b.plan_id")
+    pick = F.min(F.struct(draw(seed, F.col("group_id"), good, bad).alias("at"), good.alias("good"), bad.alias("bad")))
+    return pairs.groupBy("group_id").agg(pick.alias("x")).select("group_id", "x.good", "x.bad")
 
 
 def quotas(strata: DataFrame, total: int, beta: float = 0.5) -> DataFrame:
@@ -131,7 +150,7 @@ def quotas(strata: DataFrame, total: int, beta: float = 0.5) -> DataFrame:
 def block(rows: DataFrame, stratum: str, key: str, size: int, number: int, seed: int = 0) -> DataFrame:
     """The ``number``-th disjoint block of ``size`` rows of each shuffled stratum, wrapping around."""
     w = Window.partitionBy(stratum)
-    at = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), key), key)) - 1
+    at = F.row_number().over(w.orderBy(draw(seed, F.col(stratum), F.col(key)), key)) - 1
     numbered = rows.withColumn("_at", at).withColumn("_n", F.count(F.lit(1)).over(w))
     return numbered.where(F.pmod(F.col("_at") - number * size, F.col("_n")) < size).drop("_at", "_n")
 
@@ -150,14 +169,21 @@ def label_plans(plans: DataFrame) -> DataFrame:
 def verdicts(plans: DataFrame) -> DataFrame:
     """group_id, verdict: whether a cartesian plan beats the best plan without one.
 
-    ``plans`` has group_id, cartesian, y, censored. ``free``: no cartesian plan;
-    ``cartesian`` or ``connected``: the cheaper side; ``tie``; ``unknown`` where a
-    censored cost could decide.
+    ``plans`` has group_id, cartesian, y, censored; a censored y is a lower bound.
+    ``free``: no cartesian plan; ``unknown``: no plan without one has an exact cost,
+    or a cartesian plan's bound is below the best of them; ``cartesian`` or
+    ``connected``: the cheaper side, ``connected`` also where the bound of a
+    censored cartesian plan is no lower than the best plan without; ``tie``.
     """
-    side = lambda c: F.min(F.when(c & ~F.col("censored"), F.col("y")))
-    cart, conn = F.col("cartesian") > 0, F.col("cartesian") == 0
-    s = plans.groupBy("group_id").agg(side(cart).alias("x"), side(conn).alias("c"), F.bool_or(cart).alias("has"), F.bool_or(cart & F.col("censored")).alias("xc"), F.bool_or(conn & F.col("censored")).alias("cc"))
-    verdict = F.when(~F.col("has"), "free").when(F.col("x").isNull() & ~F.col("c").isNull() & F.col("xc"), "unknown").when(F.col("c").isNull() | F.col("x").isNull(), "unknown").when(F.col("x") < F.col("c"), F.when(F.col("cc"), "unknown").otherwise("cartesian")).when(F.col("x") > F.col("c"), F.when(F.col("xc"), "unknown").otherwise("connected")).otherwise("tie")
+    cart, cens = F.col("cartesian") > 0, F.col("censored")
+    s = plans.groupBy("group_id").agg(
+        F.bool_or(cart).alias("has"),
+        F.min(F.when(~cart & ~cens, F.col("y"))).alias("c"),
+        F.min(F.when(cart & ~cens, F.col("y"))).alias("x"),
+        F.min(F.when(cart & cens, F.col("y"))).alias("bound"),
+    )
+    x, c, bound = F.col("x"), F.col("c"), F.col("bound")
+    verdict = F.when(~F.col("has"), "free").when(c.isNull(), "unknown").when(x < c, "cartesian").when(bound < c, "unknown").when(x == c, "tie").otherwise("connected")
     return s.select("group_id", verdict.alias("verdict"))
 
 
@@ -167,3 +193,25 @@ def expected_risk(plans: DataFrame, alpha: float = 1.0) -> DataFrame:
     p = F.exp(alpha * (F.col("prediction") - F.max("prediction").over(w)))
     rows = plans.withColumn("_p", p).withColumn("_regret", F.log10(F.greatest("y", F.lit(1.0))) - F.log10(F.greatest(F.min("y").over(w), F.lit(1.0))))
     return rows.groupBy("group_id").agg((F.sum(F.col("_p") * F.col("_regret")) / F.sum("_p")).alias("risk"), (F.sum(F.when(F.col("_regret") == 0, F.col("_p")).otherwise(0.0)) / F.sum("_p")).alias("best_share"))
+
+
+def assembled(costs: DataFrame) -> DataFrame:
+    """group_id, ord, edges, y, log_y, cartesian, size: costed orders (triples, ord, c_out, censored) as training plans.
+
+    Plans of unknown or no cost are left out; a group is the ordered tuple of patterns.
+    """
+    names = names_of(F.col("triples"))
+    group = F.sha1(F.to_json("triples")).alias("group_id")
+    known = costs.where(~F.col("censored") & (F.col("c_out") > 0))
+    y = F.col("c_out")
+    return known.select(group, "ord", left_deep_edges(F.col("ord")).alias("edges"), y.alias("y"), F.ln(y.cast("double")).alias("log_y"), (cartesian_joins(F.col("ord"), names) > 0).alias("cartesian"), F.size("triples").alias("size"))
+
+
+def write_plans(plans: DataFrame, path: str) -> None:
+    """Plans stored by source, each source's groups together, so that one reads a data set or a group alone."""
+    plans.repartitionByRange("source", "group_id").sortWithinPartitions("source", "group_id").write.mode("overwrite").partitionBy("source").parquet(path)
+
+
+def read_plans(spark: SparkSession, path: str, sources: list[str] | None = None) -> DataFrame:
+    found = spark.read.parquet(path)
+    return found if sources is None else found.where(F.col("source").isin(sources))

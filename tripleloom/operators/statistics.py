@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleloom.plans.bgp import Pattern
+from tripleloom.plans.table import draw
+from tripleloom.session import durable
 
 
 def term_occurrences(kg: DataFrame) -> DataFrame:
@@ -72,29 +74,38 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int, cap: int | None
     for hop in range(1, hops + 1):
         step = edges.join(frontier, edges.src == frontier.node, "left_semi")
         if cap is not None:
-            size = F.count(F.lit(1)).over(_by("src"))
-            drawn = F.row_number().over(_by("src").orderBy(F.xxhash64(F.lit(seed), "src", "dst", "role"), "dst", "role"))
-            step = step.withColumn("weight", F.greatest(F.lit(1.0), size / F.lit(float(cap)))).withColumn("_n", drawn).where(F.col("_n") <= cap).drop("_n")
+            step = capped(step, cap, seed)
         else:
             step = step.withColumn("weight", F.lit(1.0))
-        step = step.withColumn("hop", F.lit(hop))
+        step = durable(step.withColumn("hop", F.lit(hop)))  # read twice, and the next hop's plan starts here
         found = step if found is None else found.unionByName(step)
-        frontier = step.select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti")
+        frontier = durable(step.select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti"))
         reached = reached.unionByName(frontier)
     return found.groupBy("src", "dst", "role").agg(F.min("hop").alias("hop"), F.min_by("weight", "hop").alias("weight"))
 
 
-def _by(column: str):
-    from pyspark.sql import Window
+def capped(edges: DataFrame, cap: int, seed: int, size: int = 100_000) -> DataFrame:
+    """At most ``cap`` drawn edges of each source, with weight max(1, degree / cap).
 
-    return Window.partitionBy(column)
+    The edges of a hub are first numbered in parts of about ``size``, whose first
+    ``cap`` are numbered again: no task sorts all edges of a node.
+    """
+    by = Window.partitionBy("src")
+    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_degree"))
+    at = draw(seed, F.col("src"), F.col("dst"), F.col("role"))
+    dealt = edges.join(degree, "src").withColumn("_at", at).withColumn("_part", F.pmod(F.xxhash64("dst", "role"), F.ceil(F.col("_degree") / size)))
+    order = ("_at", "dst", "role")
+    some = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("src", "_part").orderBy(*order))).where(F.col("_n") <= cap)
+    kept = some.withColumn("_n", F.row_number().over(by.orderBy(*order))).where(F.col("_n") <= cap)
+    return kept.withColumn("weight", F.greatest(F.lit(1.0), F.col("_degree") / F.lit(float(cap)))).drop("_n", "_at", "_part", "_degree")
 
 
 def bound_terms(kg: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     """term, n_s, n_o, n_p, max_out, max_in of every constant of the patterns; unknown ones count 0."""
     terms = sorted({t for p in patterns for t in (p.s, p.p, p.o) if not t.startswith("?")})
     wanted = F.broadcast(kg.sparkSession.createDataFrame([(t,) for t in terms], "term string"))
-    some = wanted.join(role_occurrences(kg), "term", "left").join(predicate_stats(kg).select(F.col("p").alias("term"), "max_out", "max_in"), "term", "left")
+    named = [F.col(c).isin(terms) for c in "spo"]  # a pattern's few constants
+    some = wanted.join(role_occurrences(kg.where(named[0] | named[1] | named[2])), "term", "left").join(predicate_stats(kg.where(named[1])).select(F.col("p").alias("term"), "max_out", "max_in"), "term", "left")
     return some.select("term", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_s", "n_p", "n_o", "max_out", "max_in")])
 
 
@@ -103,9 +114,13 @@ def random_walks(edges: DataFrame, depth: int = 4, per_node: int = 10, seed: int
 
     Each step is one join with the numbered out-edges of the walk's end, chosen by a hash.
     """
-    from pyspark.sql import Window
-
-    numbered = edges.select("s", "p", "o", (F.row_number().over(Window.partitionBy("s").orderBy("p", "o")) - 1).alias("i"))
+    # numbered in parts of bounded size, with the sizes of the parts before: no task sorts all edges of a hub
+    part = F.pmod(F.xxhash64("p", "o"), F.ceil(F.col("_n") / 100_000))
+    dealt = edges.select("s", "p", "o").join(edges.groupBy("s").agg(F.count(F.lit(1)).alias("_n")), "s").withColumn("_part", part)
+    before = dealt.groupBy("s", "_part").agg(F.count(F.lit(1)).alias("_k"))
+    before = before.select("s", "_part", F.coalesce(F.sum("_k").over(Window.partitionBy("s").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("s", "_part").orderBy("p", "o")) - 1
+    numbered = dealt.withColumn("_i", place).join(before, ["s", "_part"]).select("s", "p", "o", (F.col("_i") + F.col("_before")).alias("i"))
     sizes = edges.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     walks = sizes.select(F.col("s").alias("end"), F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("k"))
     walks = walks.select(F.concat_ws("#", "end", "k").alias("walk_id"), "end", F.array("end").alias("path"))

@@ -5,17 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import combinations, permutations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleloom.functions import metrics as M
 from tripleloom.operators import analytics as A
 from tripleloom.operators import cardinality as C
 from tripleloom.operators import datasets as D
+from tripleloom.operators import features as X
+from tripleloom.operators import search
 from tripleloom.operators import statistics as S
 from tripleloom.plans import bgp as B
 from tripleloom.plans import orders as O
-from tripleloom.plans import search
+from tripleloom.plans import table as T
+from tripleloom.session import durable
 from tripleloom.sources.triples import MAPPING, graph_of, mapping_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,15 +146,30 @@ def node_features(spark, sf_dir):
     return S.node_features(graph_of(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("log_s", "log_p", "log_o")})
 
 
-HOOD = ["c_nation", "n_region", "s_nation"]
+HOOD_SQL = f"""WITH RECURSIVE kg AS ({mapping_sql()}), e AS (SELECT s AS src, o AS dst, p AS role FROM kg UNION ALL SELECT o, s, p FROM kg),
+f1 AS (SELECT * FROM e WHERE src = '<region/1>'), n1 AS (SELECT DISTINCT dst AS node FROM f1 WHERE dst <> '<region/1>'),
+f2 AS (SELECT e.* FROM e JOIN n1 ON e.src = n1.node), n2 AS (SELECT DISTINCT dst AS node FROM f2 WHERE dst <> '<region/1>' AND dst NOT IN (SELECT node FROM n1)),
+f3 AS (SELECT e.* FROM e JOIN n2 ON e.src = n2.node)"""
 
 
-@query("bounded_neighborhood", f"WITH RECURSIVE kg AS ({mapping_sql(HOOD)}), e AS (SELECT s AS src, o AS dst FROM kg UNION ALL SELECT o, s FROM kg), r AS (SELECT '<region/1>' AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM r JOIN e ON e.src = r.node WHERE hop < 2), f AS (SELECT node, min(hop) AS hop FROM r GROUP BY node) SELECT src, dst, CAST(min(hop) + 1 AS INTEGER) AS hop FROM e JOIN f ON e.src = f.node WHERE f.hop < 2 GROUP BY src, dst")
+def both_ways(kg: DataFrame) -> DataFrame:
+    return kg.select(F.col("s").alias("src"), F.col("o").alias("dst"), F.col("p").alias("role")).unionByName(kg.select(F.col("o").alias("src"), F.col("s").alias("dst"), F.col("p").alias("role")))
+
+
+@query("bounded_neighborhood", f"{HOOD_SQL} SELECT src, dst, role, CAST(min(hop) AS INTEGER) AS hop FROM (SELECT *, 1 AS hop FROM f1 UNION ALL SELECT *, 2 FROM f2 UNION ALL SELECT *, 3 FROM f3) GROUP BY ALL")
 def bounded_neighborhood(spark, sf_dir):
-    kg = graph_of(spark, sf_dir, HOOD)
-    edges = kg.select(F.col("s").alias("src"), F.col("o").alias("dst"), "p").unionByName(kg.select(F.col("o").alias("src"), F.col("s").alias("dst"), "p")).withColumnRenamed("p", "role")
     seeds = spark.createDataFrame([("<region/1>",)], "node string")
-    return S.neighbourhood(edges, seeds, 2).groupBy("src", "dst").agg(F.min("hop").alias("hop"))
+    return S.neighbourhood(both_ways(graph_of(spark, sf_dir)), seeds, 3).select("src", "dst", "role", "hop")
+
+
+@query("capped_neighborhood", f"""WITH kg AS ({mapping_sql()}), e AS (SELECT s AS src, o AS dst, p AS role FROM kg UNION ALL SELECT o, s, p FROM kg),
+d AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY md5('7|' || src || '|' || dst || '|' || role), dst, role) AS k, count(*) OVER (PARTITION BY src) AS n FROM e),
+f1 AS (SELECT * FROM d WHERE src = '<region/1>' AND k <= 20), n1 AS (SELECT DISTINCT dst AS node FROM f1 WHERE dst <> '<region/1>'),
+f2 AS (SELECT d.* FROM d JOIN n1 ON d.src = n1.node WHERE k <= 20)
+SELECT src, dst, role, CAST(min(hop) AS INTEGER) AS hop, round(arg_min(weight, hop), 6) AS weight FROM (SELECT src, dst, role, 1 AS hop, greatest(1.0, n / 20.0) AS weight FROM f1 UNION ALL SELECT src, dst, role, 2, greatest(1.0, n / 20.0) FROM f2) GROUP BY src, dst, role""")
+def capped_neighborhood(spark, sf_dir):
+    seeds = spark.createDataFrame([("<region/1>",)], "node string")
+    return rounded(S.neighbourhood(both_ways(graph_of(spark, sf_dir)), seeds, 2, cap=20, seed=7))
 
 
 @query("bound_terms", f"{kg_sql()}, w AS (SELECT unnest(['<n_region>', '<o_customer>', '<c_nation>', '<region/1>']) AS term), st AS (SELECT 1) SELECT term, (SELECT count(*) FROM kg WHERE s = term) AS n_s, (SELECT count(*) FROM kg WHERE p = term) AS n_p, (SELECT count(*) FROM kg WHERE o = term) AS n_o, coalesce((SELECT max(d) FROM (SELECT count(*) AS d FROM kg WHERE p = term GROUP BY s)), 0) AS max_out, coalesce((SELECT max(d) FROM (SELECT count(*) AS d FROM kg WHERE p = term GROUP BY o)), 0) AS max_in FROM w")
@@ -182,9 +200,14 @@ def repeated_var_scan(spark, sf_dir):
     return B.scan(kg, B.Pattern("?x", "same", "?x"))
 
 
-@query("bgp_path3", f"{kg_sql(PATH)} SELECT {columns_sql(PATH)} {bgp_sql(PATH)}")
+PATH_SQL = """SELECT '<order/' || o_orderkey || '>' AS o, '<customer/' || c_custkey || '>' AS c, '<nation/' || n_nationkey || '>' AS n
+FROM (SELECT DISTINCT o_orderkey, o_custkey FROM orders) JOIN (SELECT DISTINCT c_custkey, c_nationkey FROM customer) ON c_custkey = o_custkey
+JOIN (SELECT DISTINCT n_nationkey, n_regionkey FROM nation) ON n_nationkey = c_nationkey WHERE n_regionkey = 1"""
+
+
+@query("bgp_path3", PATH_SQL)
 def bgp_path3(spark, sf_dir):
-    return B.solve(graph(spark, sf_dir, PATH), PATH, [2, 1, 0])
+    return B.solve(graph(spark, sf_dir, PATH), PATH, [2, 1, 0]).select("o", "c", "n")
 
 
 def _register_counts() -> None:
@@ -204,20 +227,114 @@ def bgp_disconnected_count(spark, sf_dir):
     return cards.select(F.col("card").cast("long").alias("card"))
 
 
-def shares_sql(patterns) -> str:
-    rows = [f"({i}, '{v}')" for i, p in enumerate(patterns) for v in sorted(p.variables)]
-    return f"v(i, name) AS (VALUES {', '.join(rows)})"
+# a table of queries: each customer asks one of four shapes about itself
+
+SHAPES = [
+    ["?o <o_customer> ?c", "?c <c_nation> {n}", "?o <o_status> ?x", "?o <has_part> ?p"],
+    ["?o <has_part> ?p", "?p <p_brand> ?b", "?o <o_customer> {c}"],
+    ["?c <c_nation> {n}", "?c <c_segment> ?m", "?s <s_nation> {n}"],
+    ["?o <has_supplier> ?s", "?c <c_nation> ?n", "?s <s_nation> ?n", "?o <o_customer> ?c", "?n <n_region> ?r"],
+]
+_SHAPE_ROWS = ", ".join(f"({k}, {i}, '{p.s}', '{p.p}', '{p.o}')" for k, texts in enumerate(SHAPES) for i, p in enumerate(B.parse_all(texts)))
+WORKLOAD_SQL = f"""t(k, i, s, p, o) AS (VALUES {_SHAPE_ROWS}),
+pat AS (SELECT c_custkey AS query_id, i, s, p, replace(replace(o, '{{n}}', '<nation/' || c_nationkey || '>'), '{{c}}', '<customer/' || c_custkey || '>') AS o FROM customer JOIN t ON c_custkey % 4 = k),
+v AS (SELECT DISTINCT query_id, i, unnest([s, p, o]) AS name FROM pat), vars AS (SELECT * FROM v WHERE name LIKE '?%'),
+n AS (SELECT query_id, CAST(count(*) AS INTEGER) AS n FROM pat GROUP BY query_id),
+share AS (SELECT a.query_id, a.i AS i, b.i AS j, count(*) AS n FROM vars AS a JOIN vars AS b ON a.query_id = b.query_id AND a.name = b.name AND a.i <> b.i GROUP BY ALL),
+ord AS (SELECT query_id, CAST(k AS INTEGER) AS k, CAST(pos AS INTEGER) AS pos, CAST((pos + k) % n AS INTEGER) AS i FROM n, range(n) AS r(k), range(n) AS u(pos))"""
+WORKLOAD = f"WITH RECURSIVE {WORKLOAD_SQL}"
 
 
-@query("share_matrix", f"WITH {shares_sql(SNOWFLAKE)} SELECT a.i AS i, b.i AS j, count(*) AS n FROM v AS a JOIN v AS b ON a.name = b.name AND a.i <> b.i GROUP BY a.i, b.i")
+def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, triples."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("query_id"), "c_nationkey")
+    nation, customer = F.concat(F.lit("<nation/"), F.col("c_nationkey").cast("string"), F.lit(">")), F.concat(F.lit("<customer/"), F.col("query_id").cast("string"), F.lit(">"))
+    term = lambda t: nation if t == "{n}" else customer if t == "{c}" else F.lit(t)
+    shapes = F.array(*[F.array(*[F.struct(*[term(x).alias(a) for a, x in zip("spo", (p.s, p.p, p.o), strict=True)]) for p in B.parse_all(texts)]) for texts in SHAPES])
+    return rows.select("query_id", F.get(shapes, (F.col("query_id") % 4).cast("int")).alias("triples"))
+
+
+def rotations(queries: DataFrame) -> DataFrame:
+    """query_id, triples, k, ord: each query's orders k, k + 1, ... round to k - 1."""
+    n = F.size("triples")
+    every = queries.select("query_id", "triples", F.explode(T.numbers(n)).alias("k"))
+    return every.withColumn("ord", F.transform(T.numbers(n), lambda i: F.pmod(i + F.col("k"), n)))
+
+
+def text_of(order: Column) -> Column:
+    return F.array_join(order.cast("array<string>"), ",")
+
+
+@query("share_matrix", f"{WORKLOAD} SELECT query_id, i, j, CAST(n AS INTEGER) AS n FROM share")
 def share_matrix(spark, sf_dir):
-    rows = [(i, j, n) for i, row in enumerate(B.sharing(SNOWFLAKE)) for j, n in enumerate(row) if n]
-    return spark.createDataFrame(rows, "i int, j int, n long")
+    return workload(spark, sf_dir).select("query_id", F.explode(T.shared_counts(T.names_of(F.col("triples")))).alias("x")).select("query_id", "x.*")
 
 
-@query("components", f"WITH RECURSIVE {shares_sql(SPLIT)}, r AS (SELECT DISTINCT i, i AS j FROM v UNION SELECT r.i, b.i FROM r JOIN v AS a ON a.i = r.j JOIN v AS b ON a.name = b.name) SELECT i AS pattern, min(j) AS component FROM r GROUP BY i")
+@query("components", f"{WORKLOAD}, r AS (SELECT query_id, i, i AS j FROM pat UNION SELECT r.query_id, r.i, s.j FROM r JOIN share AS s ON s.query_id = r.query_id AND s.i = r.j) SELECT query_id, i AS pattern, min(j) AS component FROM r GROUP BY query_id, i")
 def components(spark, sf_dir):
-    return spark.createDataFrame([(i, c[0]) for c in B.components(SPLIT) for i in c], "pattern int, component int")
+    labels = T.component_labels(T.names_of(F.col("triples")))
+    return workload(spark, sf_dir).select("query_id", F.posexplode(labels).alias("pattern", "component"))
+
+
+@query("cartesian_counts", f"""{WORKLOAD} SELECT query_id, k, CAST(count(*) FILTER (WHERE pos > 0 AND NOT near) AS INTEGER) AS cartesian FROM (
+  SELECT a.query_id, a.k, a.pos, EXISTS (SELECT 1 FROM ord AS b JOIN share AS s ON s.query_id = b.query_id AND s.j = b.i WHERE b.query_id = a.query_id AND b.k = a.k AND b.pos < a.pos AND s.i = a.i) AS near FROM ord AS a) GROUP BY query_id, k""")
+def cartesian_counts(spark, sf_dir):
+    names = T.names_of(F.col("triples"))
+    return rotations(workload(spark, sf_dir)).select("query_id", "k", T.cartesian_joins(F.col("ord"), names).alias("cartesian"))
+
+
+@query("greedy_connected", f"""{WORKLOAD}, c AS (SELECT query_id, i, sum(CAST(x NOT LIKE '?%' AS INTEGER)) AS bound FROM (SELECT query_id, i, unnest([s, p, o]) AS x FROM pat) GROUP BY query_id, i),
+g AS (SELECT query_id, [arg_min(i, (-bound, i))] AS l FROM c GROUP BY query_id
+  UNION ALL SELECT query_id, list_append(l, nxt) FROM (SELECT g.query_id, g.l, (SELECT min(s.j) FROM share AS s WHERE s.query_id = g.query_id AND list_contains(g.l, s.i) AND NOT list_contains(g.l, s.j)) AS nxt FROM g) WHERE nxt IS NOT NULL)
+SELECT n.query_id, array_to_string(any_value(g.l), ',') AS ord FROM n LEFT JOIN g ON g.query_id = n.query_id AND len(g.l) = n.n GROUP BY n.query_id""")
+def greedy_connected(spark, sf_dir):
+    return workload(spark, sf_dir).select("query_id", text_of(T.connected_order(F.col("triples"))).alias("ord"))
+
+
+@query("plan_validation_diff", f"""{WORKLOAD}, plan AS (SELECT query_id, k, pos, CASE WHEN k % 3 = 2 AND pos = 0 THEN (i + 1) % n.n WHEN k % 3 = 0 AND pos = 1 THEN 17 ELSE i END AS i FROM ord JOIN n USING (query_id) WHERE NOT (k % 3 = 1 AND pos = 0)),
+q AS (SELECT query_id, k, i, count(*) AS times FROM plan GROUP BY ALL),
+e AS (SELECT o.query_id, o.k, o.i, q.times FROM ord AS o LEFT JOIN q ON q.query_id = o.query_id AND q.k = o.k AND q.i = o.i)
+SELECT query_id, k, coalesce(string_agg(i, ',' ORDER BY i) FILTER (WHERE times IS NULL), '') AS missing, coalesce(string_agg(i, ',' ORDER BY i) FILTER (WHERE times > 1), '') AS repeated,
+  coalesce((SELECT string_agg(q.i, ',' ORDER BY q.i) FROM q JOIN n ON n.query_id = q.query_id WHERE q.query_id = e.query_id AND q.k = e.k AND q.i >= n.n), '') AS unknown FROM e GROUP BY query_id, k""")
+def plan_validation_diff(spark, sf_dir):
+    n = F.size("triples")
+    changed = F.transform("ord", lambda i, pos: F.when((F.col("k") % 3 == 2) & (pos == 0), F.pmod(i + 1, n)).when((F.col("k") % 3 == 0) & (pos == 1), 17).otherwise(i))
+    plan = F.when(F.col("k") % 3 == 1, F.slice("ord", F.lit(2), n)).otherwise(changed)
+    found = rotations(workload(spark, sf_dir)).select("query_id", "k", T.problems(plan, n).alias("x"))
+    return found.select("query_id", "k", *[text_of(F.col(f"x.{c}")).alias(c) for c in ("missing", "repeated", "unknown")])
+
+
+@query("fanout_upper_bound", f"""WITH RECURSIVE kg AS ({mapping_sql()}), {WORKLOAD_SQL}, st AS (SELECT * FROM ({STATS_SQL.format('cnt', 'n_subj', 'max_out', 's')}) JOIN ({STATS_SQL.format('m', 'n_obj', 'max_in', 'o')}) USING (p)),
+step AS (SELECT a.query_id, a.k, a.pos, pat.p, pat.s NOT LIKE '?%' OR EXISTS (SELECT 1 FROM ord AS b JOIN vars ON vars.query_id = b.query_id AND vars.i = b.i WHERE b.query_id = a.query_id AND b.k = a.k AND b.pos < a.pos AND vars.name = pat.s) AS sb,
+  pat.o NOT LIKE '?%' OR EXISTS (SELECT 1 FROM ord AS b JOIN vars ON vars.query_id = b.query_id AND vars.i = b.i WHERE b.query_id = a.query_id AND b.k = a.k AND b.pos < a.pos AND vars.name = pat.o) AS ob FROM ord AS a JOIN pat ON pat.query_id = a.query_id AND pat.i = a.i)
+SELECT query_id, k, round(sum(ln(CASE WHEN sb AND ob THEN 1 WHEN sb THEN max_out WHEN ob THEN max_in ELSE cnt END)), 6) AS log_bound FROM step JOIN st USING (p) GROUP BY query_id, k""")
+def fanout_upper_bound(spark, sf_dir):
+    orders = rotations(workload(spark, sf_dir)).withColumn("plan_id", F.col("k"))
+    found = C.fanout_bounds(orders, S.predicate_stats(graph_of(spark, sf_dir)))
+    return found.select("query_id", F.col("plan_id").alias("k"), F.round("log_bound", 6).alias("log_bound"))
+
+
+@query("plan_families")
+def plan_families(spark, sf_dir):
+    return T.family(workload(spark, sf_dir)).select("query_id", "kind", text_of(F.col("ord")).alias("ord"))
+
+
+@query("invalid_plans")
+def invalid_plans(spark, sf_dir):
+    plans = rotations(workload(spark, sf_dir)).select("query_id", F.col("k").alias("plan_id"), F.size("triples").alias("n"), T.left_deep_edges(F.col("ord")).alias("edges"))
+    return T.broken(plans).select("query_id", "plan_id", F.array_join(F.transform("edges", lambda e: F.concat_ws(">", e["child"], e["parent"])), ",").alias("edges"), "y")
+
+
+@query("pattern_features", f"""WITH RECURSIVE kg AS ({mapping_sql()}), {WORKLOAD_SQL}, slots AS (SELECT query_id, i, unnest([0, 1, 2]) AS slot, unnest([s, p, o]) AS term FROM pat),
+seen AS (SELECT query_id, term, min(i * 3 + slot) AS place FROM slots WHERE term LIKE '?%' GROUP BY ALL), ids AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY place) - 1 AS variable FROM seen),
+cnt AS (SELECT term, count(*) AS c FROM (SELECT s AS term FROM kg UNION ALL SELECT p FROM kg UNION ALL SELECT o FROM kg) GROUP BY term),
+emb AS (SELECT '<customer/' || vec_id || '>' AS term, list_sum(embedding) AS total FROM embeddings)
+SELECT s.query_id, s.i AS pattern, s.slot, CAST(coalesce(ids.variable, 0) AS INTEGER) AS variable, round(CASE WHEN s.term LIKE '?%' THEN 64.0 ELSE coalesce(emb.total, 0.0) END, 4) AS embedding_sum,
+  CAST(CASE WHEN s.term LIKE '?%' THEN 0 ELSE coalesce(cnt.c, 1) END AS BIGINT) AS n FROM slots AS s LEFT JOIN ids ON ids.query_id = s.query_id AND ids.term = s.term LEFT JOIN emb ON emb.term = s.term LEFT JOIN cnt ON cnt.term = s.term""")
+def pattern_features(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.concat(F.lit("<customer/"), F.col("vec_id").cast("string"), F.lit(">")).alias("term"), F.col("embedding").cast("array<double>").alias("embedding"))
+    found = X.pattern_features(workload(spark, sf_dir), vectors, S.term_occurrences(graph_of(spark, sf_dir)), 64)
+    return found.select("query_id", "pattern", "slot", "variable", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("embedding_sum"), "n")
 
 
 # costs and orders
@@ -225,6 +342,12 @@ def components(spark, sf_dir):
 PERMS = list(permutations(range(3)))
 
 
+def shares_sql(patterns) -> str:
+    rows = [f"({i}, '{v}')" for i, p in enumerate(patterns) for v in sorted(p.variables)]
+    return f"v(i, name) AS (VALUES {', '.join(rows)})"
+
+
+
 @query("prefix_cards", f"{kg_sql(STAR)}, cards AS ({cards_sql(STAR)}), steps AS ({orders_sql(PERMS)}) SELECT ord, k, card FROM steps JOIN cards USING (mask)")
 def prefix_cards(spark, sf_dir):
     cards = C.subset_cards(graph(spark, sf_dir, STAR), STAR)
@@ -267,57 +390,100 @@ two AS (SELECT a.ord[1:3] AS head, c.card AS c2 FROM o AS a JOIN o AS f ON f.ord
 SELECT a.ord AS ord, CAST(two.c2 + c.card AS BIGINT) AS c_out FROM o AS a JOIN two ON a.ord[1:3] = two.head AND a.k = 3 JOIN cards AS c ON c.mask = a.mask"""
 
 
+def numbered(cards: DataFrame) -> DataFrame:
+    return cards.select(F.lit(1).cast("long").alias("query_id"), "mask", "card")
+
+
 @query("beam_best_k2", BEAM_SQL)
 def beam_best_k2(spark, sf_dir):
-    found = C.beam(C.subset_cards(graph(spark, sf_dir, STAR), STAR), STAR, 2)
-    return spark.createDataFrame([(",".join(map(str, o)), int(c)) for o, c in found], "ord string, c_out long")
+    found = search.beam(numbered(C.subset_cards(graph(spark, sf_dir, STAR), STAR)), 2)
+    return found.select(text_of(F.col("ord")).alias("ord"), F.col("cost").cast("long").alias("c_out"))
 
 
-@query("greedy_connected", "SELECT '" + ",".join(map(str, B.connected_order(SNOWFLAKE))) + "' AS ord, 0 AS cartesian")
-def greedy_connected(spark, sf_dir):
-    order = B.connected_order(SNOWFLAKE)
-    return spark.createDataFrame([(",".join(map(str, order)), B.cartesian_joins(SNOWFLAKE, order))], "ord string, cartesian int")
+def beam_sql(width: int) -> str:
+    grown = "SELECT b.mask + (1 << r.i) AS mask, b.ord || ',' || r.i AS ord, b.cost + c.card AS cost, row_number() OVER (ORDER BY b.cost + c.card, b.ord || ',' || r.i) AS place FROM b, range(5) AS r(i), cards AS c WHERE (b.mask >> r.i) & 1 = 0 AND c.mask = b.mask + (1 << r.i)"
+    return f"b AS (SELECT mask, CAST(CAST(log2(mask) AS INTEGER) AS VARCHAR) AS ord, CAST(0 AS HUGEINT) AS cost FROM (SELECT mask, row_number() OVER (ORDER BY card, mask) AS place FROM cards WHERE bit_count(mask) = 1) WHERE place <= {width} UNION ALL SELECT mask, ord, cost FROM ({grown}) WHERE place <= {width})"
 
 
-CART_SQL = f"""WITH {shares_sql(SPLIT)}, o AS ({orders_sql(PERMS)}), step AS (
-  SELECT a.order_id, a.ord, a.k, a.mask AS after, b.mask AS before FROM o AS a JOIN o AS b ON a.order_id = b.order_id AND b.k = a.k - 1)
-SELECT ord, CAST(count(*) FILTER (WHERE NOT EXISTS (
-  SELECT 1 FROM v AS x JOIN v AS y ON x.name = y.name WHERE (1 << x.i) = after - before AND (before >> y.i) & 1 = 1)) AS INTEGER) AS cartesian
-FROM step GROUP BY ord"""
+def search_sql(width: int) -> str:
+    return f"WITH RECURSIVE kg AS ({mapping_sql(predicates(SNOWFLAKE))}), cards AS ({cards_sql(SNOWFLAKE)}), {beam_sql(width)} SELECT ord, cost FROM b WHERE mask = 31 ORDER BY cost, ord LIMIT 1"
 
 
-@query("cartesian_counts", CART_SQL)
-def cartesian_counts(spark, sf_dir):
-    return spark.createDataFrame([(",".join(map(str, o)), B.cartesian_joins(SPLIT, o)) for o in PERMS], "ord string, cartesian int")
+SEARCH_SQL = f"""SELECT 'dynamic' AS method, ord, CAST(c_out AS BIGINT) AS cost FROM ({cost_sql(SNOWFLAKE, list(permutations(range(5))))} SELECT ord, c_out FROM costs ORDER BY c_out, ord LIMIT 1)
+UNION ALL SELECT 'greedy', ord, CAST(cost AS BIGINT) FROM ({search_sql(1)}) UNION ALL SELECT 'beam', ord, CAST(cost AS BIGINT) FROM ({search_sql(6)})"""
 
 
-FAMILY = O.siblings(MIXED)
+@query("search_methods", SEARCH_SQL)
+def search_methods(spark, sf_dir):
+    cards = durable(numbered(C.subset_cards(graph(spark, sf_dir, SNOWFLAKE), SNOWFLAKE)))  # a row for each set of patterns
+    first = lambda df, name: df.groupBy("query_id").agg(F.min(F.struct("cost", "ord")).alias("x")).select(F.lit(name).alias("method"), text_of(F.col("x.ord")).alias("ord"), F.col("x.cost").cast("long").alias("cost"))
+    return first(search.dynamic(cards), "dynamic").unionByName(first(search.beam(cards, 1), "greedy")).unionByName(first(search.beam(cards, 6), "beam"))
 
 
-@query("sibling_family", f"{cost_sql(MIXED, [o for _, o in FAMILY])} SELECT ord, c_out FROM costs")
-def sibling_family(spark, sf_dir):
-    return cost_rows(costs(spark, sf_dir, MIXED, [o for _, o in FAMILY]))
+TREES = [((0, 1), ((2, 3), 4)), (((0, 2), 1), (3, 4)), (((3, 4), 2), (0, 1)), ((((0, 1), 2), 3), 4), ((0, 3), (1, (2, 4)))]
 
 
-@query("fanout_upper_bound")
-def fanout_upper_bound(spark, sf_dir):
-    rows = S.predicate_stats(graph(spark, sf_dir, SNOWFLAKE)).collect()  # a row for each predicate of the pattern
-    stats = {r.p: r.asDict() for r in rows}
-    return spark.createDataFrame([(",".join(map(str, o)), float(C.fanout_bound(SNOWFLAKE, o, stats))) for o in permutations(range(5)) if not B.cartesian_joins(SNOWFLAKE, o)], "ord string, bound double")
+def tree_edges(tree, n: int) -> list[tuple[int, int]]:
+    """(child, parent) edges of a nested tree, joins numbered from n upwards, the root last."""
+    edges, following = [], iter(range(n, 2 * n - 1))
 
+    def place(node) -> int:
+        if isinstance(node, int):
+            return node
+        sides = [place(x) for x in node]
+        here = next(following)
+        edges.extend((x, here) for x in sides)
+        return here
 
-@query("search_methods")
-def search_methods(spark, sf_dir):
-    cards = C.subset_cards(graph(spark, sf_dir, SNOWFLAKE), SNOWFLAKE).select(F.lit(1).cast("long").alias("query_id"), "mask", F.col("card").cast("double").alias("card"))
-    cards = cards.persist()  # small: a row for each set of the query's patterns
-    return search.search_all(cards, list(search.METHODS))
+    place(tree)
+    return edges
 
 
-@query("plan_validation_diff", "SELECT * FROM (VALUES ('0,1,2', '', ''), ('0,0,2', '1', '0'), ('1,2', '0', '')) AS v(ord, missing, repeated)")
-def plan_validation_diff(spark, sf_dir):
-    rows = [(o, B.problems(o, 3)) for o in ([0, 1, 2], [0, 0, 2], [1, 2])]
-    text = lambda x: ",".join(map(str, x))
-    return spark.createDataFrame([(text(o), text(p["missing"]), text(p["repeated"])) for o, p in rows], "ord string, missing string, repeated string")
+def tree_masks(tree) -> list[int]:
+    return [] if isinstance(tree, int) else [*tree_masks(tree[0]), *tree_masks(tree[1]), sum(1 << i for i in O.leaves(tree))]
+
+
+_TREE_ROWS = ", ".join(f"({k}, {m})" for k, t in enumerate(TREES) for m in tree_masks(t))
+
+
+@query("bushy_costs", f"{kg_sql(SNOWFLAKE)}, cards AS ({cards_sql(SNOWFLAKE)}), j(plan_id, mask) AS (VALUES {_TREE_ROWS}) SELECT plan_id, CAST(sum(card) AS BIGINT) AS c_out FROM j JOIN cards USING (mask) GROUP BY plan_id")
+def bushy_costs(spark, sf_dir):
+    plans = spark.createDataFrame([(k, tree_edges(t, 5)) for k, t in enumerate(TREES)], "plan_id int, edges array<struct<child:int,parent:int>>")
+    cards = C.subset_cards(graph(spark, sf_dir, SNOWFLAKE), SNOWFLAKE)
+    return C.tree_costs(plans, cards, 5).select("plan_id", F.col("c_out").cast("long").alias("c_out"))
+
+
+@query("tree_cartesian_counts", f"""{WORKLOAD} SELECT query_id, k, CASE WHEN k = 2 THEN -1 ELSE CAST(count(*) FILTER (WHERE pos > 0 AND NOT near) AS INTEGER) END AS cartesian FROM (
+  SELECT a.query_id, a.k, a.pos, EXISTS (SELECT 1 FROM ord AS b JOIN share AS s ON s.query_id = b.query_id AND s.j = b.i WHERE b.query_id = a.query_id AND b.k = a.k AND b.pos < a.pos AND s.i = a.i) AS near FROM ord AS a) GROUP BY query_id, k""")
+def tree_cartesian_counts(spark, sf_dir):
+    names = T.names_of(F.col("triples"))
+    plans = rotations(workload(spark, sf_dir)).select("query_id", "k", "triples", T.left_deep_edges(F.col("ord")).alias("edges"))
+    # without the root's edges its join has nothing below it
+    malformed = F.when(F.col("k") == 2, F.filter("edges", lambda e: e["parent"] < 2 * F.size("triples") - 2)).otherwise(F.col("edges"))
+    return plans.select("query_id", "k", T.tree_cartesian_joins(malformed, names).alias("cartesian"))
+
+
+@query("card_targets", f"{kg_sql(STAR)}, cards AS ({cards_sql(STAR)}), steps AS ({orders_sql(PERMS)}) SELECT ord, k, round(CASE WHEN card > 0 THEN ln(card) ELSE 0 END, 9) AS target, card > 0 AS valid FROM steps JOIN cards USING (mask) WHERE k >= 2")
+def card_targets(spark, sf_dir):
+    cards = C.subset_cards(graph(spark, sf_dir, STAR), STAR)
+    return with_text(C.card_targets(C.all_orders(spark, 3), cards)).select("ord", "k", F.round("target", 9).alias("target"), "valid")
+
+
+@query("plan_dataset", f"""{cost_sql(SNOWFLAKE, list(permutations(range(5))))}, {shares_sql(SNOWFLAKE)}, step AS (SELECT a.ord, a.mask AS after, b.mask AS before FROM steps AS a JOIN steps AS b ON a.order_id = b.order_id AND b.k = a.k - 1),
+cart AS (SELECT ord, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM v AS x JOIN v AS y ON x.name = y.name WHERE (1 << x.i) = after - before AND (before >> y.i) & 1 = 1)) AS n FROM step GROUP BY ord)
+SELECT ord, c_out AS y, round(ln(c_out), 9) AS log_y, cart.n > 0 AS cartesian, 5 AS size FROM costs JOIN cart USING (ord)""")
+def plan_dataset(spark, sf_dir):
+    triples = F.array(*[F.struct(*[F.lit(x).alias(a) for a, x in zip("spo", (p.s, p.p, p.o), strict=True)]) for p in SNOWFLAKE])
+    found = D.assembled(costs(spark, sf_dir, SNOWFLAKE).withColumn("triples", triples))
+    return found.select(text_of(F.col("ord")).alias("ord"), F.col("y").cast("long").alias("y"), F.round("log_y", 9).alias("log_y"), "cartesian", "size")
+
+
+FAMILY = O.siblings(MIXED)
+
+
+@query("sibling_family", f"{cost_sql(MIXED, [o for _, o in FAMILY])} SELECT ord, c_out FROM costs")
+def sibling_family(spark, sf_dir):
+    return cost_rows(costs(spark, sf_dir, MIXED, [o for _, o in FAMILY]))
 
 
 # analytics: an order's lines stand for plans of a query, by return flag and line status
@@ -376,7 +542,7 @@ def iqr_whisker(spark, sf_dir):
 Q_SQL = "greatest(real_cost / (predicted_cost + 1e-10), predicted_cost / (real_cost + 1e-10))"
 
 
-@query("qerror_summary", f"{RESULTS_SQL} SELECT size, round(avg({Q_SQL}), 6) AS mean, round(quantile_cont({Q_SQL}, 0.5), 6) AS median, round(quantile_cont({Q_SQL}, 0.95), 6) AS p95, count(*) AS n FROM r WHERE real_cost > 0 AND predicted_cost > 0 GROUP BY size")
+@query("qerror_summary", f"{RESULTS_SQL} SELECT size, round(avg({Q_SQL}), 6) AS mean, round(quantile_cont({Q_SQL}, 0.5), 6) AS median, round(quantile_cont({Q_SQL}, 0.95), 6) AS p95, round(quantile_disc({Q_SQL}, 0.5), 6) AS lower_median, round(avg((ln(real_cost) - ln(predicted_cost)) ** 2), 6) AS mse, count(*) AS n FROM r WHERE real_cost > 0 AND predicted_cost > 0 GROUP BY size")
 def qerror_summary(spark, sf_dir):
     return rounded(A.q_error_summary(results(spark, sf_dir)))
 
@@ -417,9 +583,9 @@ def running_best(spark, sf_dir):
     return A.running_best(history)
 
 
-@query("best_of_n")
+@query("best_of_n", f"{RESULTS_SQL}, d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY md5('0|' || query_id || '|' || method), method) AS i FROM r), b AS (SELECT n, query_id, min(real_cost) AS best FROM d, (SELECT CAST(unnest([1, 2, 3, 4]) AS INTEGER) AS n) WHERE i <= n GROUP BY n, query_id) SELECT n, round(median(best), 6) AS median, round(avg(best), 6) AS mean, round(stddev_pop(best), 6) AS deviation FROM b GROUP BY n")
 def best_of_n(spark, sf_dir):
-    return A.best_of_n(results(spark, sf_dir), [1, 2, 3, 4])
+    return rounded(A.best_of_n(results(spark, sf_dir), [1, 2, 3, 4]))
 
 
 @query("parameter_correlation", f"{RESULTS_SQL} SELECT 'size' AS \"column\", round(corr(size, real_cost), 6) AS r FROM r UNION ALL SELECT 'predicted_cost', round(corr(predicted_cost, real_cost), 6) FROM r")
@@ -445,6 +611,32 @@ def ranking_loss(spark, sf_dir):
     return rounded(D.ranking_loss(plans(spark, sf_dir)))
 
 
+@query("total_ranking_loss", f"{PLANS_SQL}, k AS (SELECT p.*, r.size, row_number() OVER (PARTITION BY group_id ORDER BY y, plan_id) - 1 AS rank FROM p JOIN r ON r.query_id = p.group_id AND r.method = p.plan_id), j AS (SELECT b.prediction - a.prediction AS gap, sqrt(a.size * b.size) / (1 + least(a.rank, b.rank)) AS w FROM k AS a JOIN k AS b ON a.group_id = b.group_id AND a.y < b.y) SELECT round(sum(w * (greatest(-gap, 0) + ln(1 + exp(-abs(gap))))) / sum(w), 6) AS loss, round(avg(CASE WHEN gap > 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS pairs FROM j")
+def total_ranking_loss(spark, sf_dir):
+    return rounded(D.total_ranking_loss(plans(spark, sf_dir).withColumn("size", F.col("group_id") % 13 + 3)))
+
+
+@query("loss_buckets", "WITH q AS (SELECT quantile_cont(value, 0.2) AS lo, quantile_cont(value, 0.8) AS hi FROM events) SELECT event_id AS iteration, value AS loss, CASE WHEN value <= lo THEN 'best' ELSE 'worst' END AS bucket FROM events, q WHERE value <= lo OR value >= hi")
+def loss_buckets(spark, sf_dir):
+    return A.extremes(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("iteration"), F.col("value").alias("loss")))
+
+
+@query("results_from_json", f"{RESULTS_SQL} SELECT query_id, CAST(size AS INTEGER) AS size, method, round(predicted_cost, 4) AS predicted_cost, CASE WHEN method <> 'AF' THEN real_cost END AS real_cost FROM r")
+def results_from_json(spark, sf_dir):
+    """Results packed as their files have them, infinite costs included, and read back."""
+    known = results(spark, sf_dir).withColumn("real_cost", F.when(F.col("method") == "AF", float("inf")).otherwise(F.col("real_cost")))
+    packed = known.groupBy("query_id").agg(F.first("size").cast("int").alias("ntriplepattern"), F.map_from_entries(F.collect_list(F.struct("method", F.struct("predicted_cost", "real_cost")))).alias("plans"))  # a query's methods
+    lines = packed.select(F.to_json(F.struct("query_id", "ntriplepattern", "plans")).alias("line"))
+    found = A.unpacked_results(lines.select(F.from_json("line", A.RESULTS_JSON).alias("x")).select("x.*"))
+    return found.select("query_id", "size", "method", F.round("predicted_cost", 4).alias("predicted_cost"), "real_cost")
+
+
+@query("schedules", "SELECT event_id AS step, round(greatest(0.5, 2.0 * (1 - event_id / 1000.0)), 9) AS temperature, round(CASE WHEN event_id <= 199 THEN 1.0 + (0.2 - 1.0) * (1 + cos(pi() * event_id / 199.0)) / 2 ELSE 0.01 + (1.0 - 0.01) * (1 + cos(pi() * least(1.0, (event_id - 199) / 800.0))) / 2 END, 9) AS rate FROM events WHERE event_id < 1000")
+def schedules(spark, sf_dir):
+    steps = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 1000").select(F.col("event_id").alias("step"))
+    return steps.select("step", F.round(M.annealed(F.col("step"), 1000, 2.0, 0.5), 9).alias("temperature"), F.round(M.one_cycle(F.col("step"), 1000, 1.0), 9).alias("rate"))
+
+
 @query("rank_groups", f"{PLANS_SQL} SELECT group_id, plan_id FROM p WHERE group_id IN (SELECT group_id FROM p GROUP BY group_id HAVING count(*) >= 2 AND count(DISTINCT y) >= 2)")
 def rank_groups(spark, sf_dir):
     return D.rank_groups(plans(spark, sf_dir)).select("group_id", "plan_id")
@@ -455,11 +647,24 @@ def labelled_best(spark, sf_dir):
     return D.label_plans(plans(spark, sf_dir)).select("group_id", "plan_id", "is_best")
 
 
-@query("plan_verdicts", f"{PLANS_SQL}, m AS (SELECT group_id, min(y) FILTER (WHERE cartesian = 1) AS x, min(y) FILTER (WHERE cartesian = 0) AS c FROM p GROUP BY group_id) SELECT group_id, CASE WHEN x IS NULL THEN 'free' WHEN c IS NULL THEN 'unknown' WHEN x < c THEN 'cartesian' WHEN x > c THEN 'connected' ELSE 'tie' END AS verdict FROM m")
+VERDICT_SQL = "CASE WHEN NOT has THEN 'free' WHEN c IS NULL THEN 'unknown' WHEN x < c THEN 'cartesian' WHEN bound < c THEN 'unknown' WHEN x = c THEN 'tie' ELSE 'connected' END AS verdict FROM m"
+
+
+def verdict_sql(censored: str) -> str:
+    return f"{PLANS_SQL}, q AS (SELECT *, {censored} AS cens FROM p), m AS (SELECT group_id, bool_or(cartesian = 1) AS has, min(y) FILTER (WHERE cartesian = 1 AND NOT cens) AS x, min(y) FILTER (WHERE cartesian = 0 AND NOT cens) AS c, min(y) FILTER (WHERE cartesian = 1 AND cens) AS bound FROM q GROUP BY group_id) SELECT group_id, {VERDICT_SQL}"
+
+
+@query("plan_verdicts", verdict_sql("false"))
 def plan_verdicts(spark, sf_dir):
     return D.verdicts(plans(spark, sf_dir).withColumn("censored", F.lit(False)))
 
 
+@query("plan_verdicts_censored", verdict_sql("(group_id + CAST(y AS BIGINT)) % 3 = 0"))
+def plan_verdicts_censored(spark, sf_dir):
+    # DuckDB rounds a cast, Spark cuts it
+    return D.verdicts(plans(spark, sf_dir).withColumn("censored", (F.col("group_id") + F.rint("y").cast("long")) % 3 == 0))
+
+
 @query("dataset_profile", f"{PLANS_SQL} SELECT 'all' AS source, cartesian, count(*) AS plans, count(DISTINCT group_id) AS groups, round(median(log10(y)), 6) AS log10_y FROM p GROUP BY cartesian")
 def dataset_profile(spark, sf_dir):
     return rounded(D.profile(D.combined(all=plans(spark, sf_dir))))
@@ -476,12 +681,12 @@ def stratum_quotas(spark, sf_dir):
     return D.quotas(strata, 100)
 
 
-@query("stratum_blocks")
+@query("stratum_blocks", f"{PLANS_SQL}, k AS (SELECT plan_id, group_id, row_number() OVER (PARTITION BY plan_id ORDER BY md5('0|' || plan_id || '|' || group_id), group_id) - 1 AS place, count(*) OVER (PARTITION BY plan_id) AS n FROM p) SELECT plan_id, group_id FROM k WHERE (place - 50 + 50 * n) % n < 50")
 def stratum_blocks(spark, sf_dir):
     return D.block(plans(spark, sf_dir).select("plan_id", "group_id"), "plan_id", "group_id", 50, 1)
 
 
-@query("contrast_pairs")
+@query("contrast_pairs", f"{PLANS_SQL}, j AS (SELECT a.group_id, a.plan_id AS good, b.plan_id AS bad FROM p AS a JOIN p AS b ON a.group_id = b.group_id AND a.y < b.y) SELECT group_id, arg_min(good, (md5('0|' || group_id || '|' || good || '|' || bad), good, bad)) AS good, arg_min(bad, (md5('0|' || group_id || '|' || good || '|' || bad), good, bad)) AS bad FROM j GROUP BY group_id")
 def contrast_pairs(spark, sf_dir):
     return D.contrast(plans(spark, sf_dir))
 

@@ -59,8 +59,8 @@ def mapping_sql(predicates: list[str] | None = None) -> str:
 
 
 def write_graph(kg: DataFrame, path: str) -> None:
-    """Store a graph by predicate, sorted by subject: a bound predicate reads its own folder only."""
-    kg.repartition("p").sortWithinPartitions("p", "s").write.mode("overwrite").partitionBy("p").parquet(path)
+    """Store a graph by predicate, sorted by subject: a bound predicate reads its own folder only, written by many tasks."""
+    kg.repartitionByRange("p", "s").sortWithinPartitions("p", "s").write.mode("overwrite").partitionBy("p").parquet(path)
 
 
 def read_graph(spark: SparkSession, path: str) -> DataFrame:
