@@ -46,3 +46,23 @@ def test_run_packs_what_is_left(spark, folder):
     found = __spark_entry__.queries()["pipeline"](spark, folder).collect()
     assert {r.doc_id for r in found} == {i for i in range(120) if i % 10 in (0, 4, 5, 6, 7, 8, 9)}
     assert all(sum(x.length for x in found if x.doc_id == r.doc_id) == r.doc_tokens for r in found)
+
+
+def test_stages_on_odd_and_empty_tables(spark, docs_of, folder):
+    """Nulls, repeated rows, very long and short texts, extra columns with clashing names, an empty table."""
+    from tests.llm.conftest import ODD
+
+    for docs in (docs_of(ODD), docs_of(ODD).where("false")):
+        columns, n = docs.columns, docs.count()
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, folder)
+            assert docs.columns == columns and docs.count() <= n
+        packed = corpus_pipeline.packing(spark, docs, folder)
+        assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_rows_without_an_id_are_told_apart_by_text(docs_of):
+    a, b = "one of the many texts that are here twice or more often", "quite another text of which there are only copies without an id"
+    rows = [(1, a), (None, a), (None, b), (None, b + " "), (None, "alone and without any id at all in here"), (5, None), (None, None)]
+    kept = sorted(((r.doc_id or 99, (r.text or "").strip()) for r in corpus_pipeline.near_dedup(None, docs_of(rows), "").collect()))
+    assert kept == [(1, a), (5, ""), (99, "alone and without any id at all in here"), (99, b)]

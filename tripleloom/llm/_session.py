@@ -2,24 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tripleloom.session import checkpoint_dir, durable
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a private one only where that is unset, as in tests."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tripleloom-checkpoint-"))
-    return named or sc.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` where every executor can read it back."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["checkpoint_dir", "documents", "durable", "remove_folder", "shuffle_partitions"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -28,3 +15,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results, wherever it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -279,6 +279,10 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, seed: int = 42
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Stands for a null doc_id, after all others.
+LAST = (1 << 63) - 1
+
+
 def text_classes(docs: DataFrame, k: int) -> DataFrame:
     """owner, version, doc_id, cls and keys of every row; equal shingle sets have one class, short texts no keys."""
 
@@ -295,7 +299,7 @@ def text_classes(docs: DataFrame, k: int) -> DataFrame:
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    return docs.select(F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("owner"), F.xxhash64(text).alias("version"), doc_id.alias("doc_id"), text.alias("text"))
+    return docs.select(F.coalesce(doc_id, F.lit(LAST)).alias("owner"), F.xxhash64(text).alias("version"), doc_id.alias("doc_id"), text.alias("text"))
 
 
 def likeness_links(docs: DataFrame, classes: DataFrame, k: int, threshold: float, block: int = 256) -> DataFrame:
@@ -356,11 +360,16 @@ def one_of_each(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFram
 
     Near-duplicates are connected by pairs whose ``k``-word shingle sets have a
     likeness of ``threshold`` or more; texts of fewer words must have the same words.
-    Rows that repeat a doc_id are one document and stay or go together.
+    Rows that repeat a doc_id are one document and stay or go together; rows without
+    one come after all others and are told apart by their text.
     """
     rows = text_classes(docs, k)
     classes = durable(rows.groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.min(F.struct("owner", "version", "keys")).alias("one")).select("cls", "first_doc", "one.*"))
     roots = components(likeness_links(docs, classes, k, threshold))
-    joined = classes.join(roots, classes.cls == roots.node, "left").select("first_doc", F.coalesce("root", "cls").alias("root"))
-    kept = joined.groupBy("root").agg(F.min("first_doc").alias("_kept")).select("_kept").distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    joined = classes.join(roots, classes.cls == roots.node, "left").select("owner", "version", F.coalesce("root", "cls").alias("root"))
+    # the row that stays: told by its doc_id, or without one by its text
+    version = F.when(F.col("one.owner") == LAST, F.col("one.version")).otherwise(0)
+    kept = joined.groupBy("root").agg(F.min(F.struct("owner", "version")).alias("one")).select(F.col("one.owner").alias("_owner"), version.alias("_version")).distinct()
+    owner = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST))
+    own_version = F.when(docs["doc_id"].isNull(), F.xxhash64(docs["text"].cast("string"))).otherwise(0)
+    return docs.join(kept, (owner == kept["_owner"]) & (own_version == kept["_version"]), "left_semi")
