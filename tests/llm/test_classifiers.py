@@ -16,7 +16,7 @@ from tripleloom.llm.decontaminate import drop_leaks, find_leaks
 from tripleloom.llm.language_id import SCRIPTS, TABLE_END, Distinct, best_paths, decoded, identify, label, letter_words, shares, train
 from tripleloom.llm.license_scan import FAMILIES, TEMPLATES, license_report, required_words, scan
 from tripleloom.llm.license_scan import train as train_licences
-from tripleloom.llm.quality import ABSTAIN, KEEP, REJECT, classify, estimate, keep_good
+from tripleloom.llm.quality import ABSTAIN, EVIDENCE_CUTS, EVIDENCE_FIRST, KEEP, LEAST_KNOWN, MOST_TELLING, REJECT, classify, estimate, keep_good, with_evidence
 
 EN = "the of and to in that was for with is house water people little great under never before again while".split()
 DE = "der die und den das mit für ist nicht ein haus wasser leute klein groß unter niemals vorher wieder während".split()
@@ -221,6 +221,74 @@ def test_licences(docs_of, odd, empty):
     assert license_report(empty).count() == 0 and scan(empty).count() == 0
 
 
+def test_estimate_equals_plain_em_over_rows():
+    """Counted patterns give what expectation-maximisation over single documents gives."""
+    rng = random.Random(4)
+    rows = [[rng.choice([REJECT, REJECT, KEEP, ABSTAIN]) if bad else rng.choice([KEEP, KEEP, REJECT, ABSTAIN]) for _ in range(4)] for bad in (rng.random() < 0.4 for _ in range(300))]
+    accuracy = [0.95] * 4
+    for _ in range(200):
+        posterior = []
+        for votes in rows:
+            z = sum(math.log(a / (1 - a)) * (1 if v == REJECT else -1) for a, v in zip(accuracy, votes, strict=True) if v != ABSTAIN)
+            posterior.append(1 / (1 + math.exp(-z)))
+        new = []
+        for j in range(4):
+            said = [(p if v[j] == REJECT else 1 - p) for p, v in zip(posterior, rows, strict=True) if v[j] != ABSTAIN]
+            new.append(min(0.99, max(0.55, (sum(said) + 0.9) / (len(said) + 1))))
+        done = max(abs(a - b) for a, b in zip(accuracy, new, strict=True)) < 1e-6
+        if done:
+            break
+        accuracy = new
+    patterns, inverse, counts = np.unique(np.array(rows), axis=0, return_inverse=True, return_counts=True)
+    found, estimated = estimate(patterns, counts)
+    assert np.allclose(estimated, accuracy, atol=1e-5) and np.allclose(found[inverse], posterior, atol=1e-5)
+
+
+def test_evidence_equals_a_plain_computation():
+    rng = random.Random(9)
+    texts = [sorted(rng.sample(range(200, 230), rng.randrange(1, 12))) for _ in range(60)]
+    targets = np.array([[rng.choice([0.01, 0.5, 0.99]) for _ in range(2)] for _ in texts])
+    sizes = np.array([len(t) for t in texts])
+    odds, feature, new_sizes = with_evidence(np.array(sum(texts, []), np.int32), sizes, targets)
+    at = 0
+    for d, text in enumerate(texts):
+        expected = list(text)
+        for k in range(2):
+            def value(f, own, k=k):
+                rest = [x for i, x in enumerate(texts) if own is None or i != own]
+                kept = [targets[i][k] for i in range(len(texts)) if own is None or i != own]
+                bad = sum(f in x and t > 0.9 for x, t in zip(rest, kept, strict=True))
+                good = sum(f in x and t < 0.1 for x, t in zip(rest, kept, strict=True))
+                n_bad, n_good = (targets[:, k] > 0.9).sum(), (targets[:, k] < 0.1).sum()
+                return max(0.0, math.log((bad + 0.5) / (n_bad + 1)) - math.log((good + 0.5) / (n_good + 1))) if bad >= LEAST_KNOWN else 0.0
+
+            assert all(abs(odds[k][f] - value(f, None)) < 1e-5 for f in text)
+            # a feature that only the text itself makes telling is none
+            total = sum(sorted((value(f, d) for f in text if value(f, None) > 0), reverse=True)[:MOST_TELLING])
+            expected += [EVIDENCE_FIRST + k * len(EVIDENCE_CUTS) + c for c, cut in enumerate(EVIDENCE_CUTS) if total >= cut]
+        assert sorted(feature[at : at + new_sizes[d]].tolist()) == sorted(expected)
+        at += new_sizes[d]
+
+
+def test_telling_beginnings_of_a_language_with_few_labels(docs_of, spark):
+    """Of 40 languages' worth of words, texts to go share one beginning; a few labels are enough for the others."""
+    rng = random.Random(11)
+    syllables = [a + b for a in "bdfgklmn" for b in "aeiou"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(4))
+    rows, labels = [], []
+    for i in range(1200):
+        bad = i % 8 == 0
+        w = [word() for _ in range(150)]
+        for _ in range(5 if bad else 0):
+            w.insert(rng.randrange(len(w)), "zorkru" + word())
+        rows.append((i, " ".join(w)))
+        if i % 3 == 0:
+            labels.append((i, 1, int(bad)))
+    found = {r.doc_id: r.keep for r in classify(docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    unseen = [i for i in range(1200) if i % 3]
+    assert np.mean([not found[i] for i in unseen if i % 8 == 0]) >= 0.95 and np.mean([found[i] for i in unseen if i % 8]) >= 0.98
+
+
 def licence_words(text):
     return [w for w in re.split(r"[^\w]+|_", text.lower()) if w]
 

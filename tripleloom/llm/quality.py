@@ -7,8 +7,15 @@ labeller. The documents are counted by pattern of votes, and
 expectation-maximisation over those counts estimates each labeller's votes on
 documents worth keeping and on others, and with them each pattern's posterior.
 The posteriors of a bounded sample train a linear scorer on hashed features
-(words, word beginnings and how often they recur, and shares of odd shapes),
-which scores every document. The worse aspect decides.
+(words, word beginnings and how often they recur, shares of odd shapes, and the
+evidence of the most telling features), which scores every document. The worse
+aspect decides.
+
+The evidence of a text is the sum of the largest log odds of its features, where
+odds compare the sample's texts that should surely go with those that surely
+stay; a text of the sample itself does not count for its own evidence. It lets a
+few telling word beginnings of a language with few labels outweigh hundreds of
+common words.
 
 Counts and accuracies cover all documents; only the scorer is fitted on a sample
 of at most about ``max_train`` documents.
@@ -60,8 +67,12 @@ BUCKETS = 1 << 18
 #: Texts of the sample that a feature must occur in.
 LEAST_TEXTS = 3
 SHAPES = ("symbols", "capitals", "repeats", "separators", "function_words", "variety")
-#: The first buckets are the shapes' own.
-RESERVED = 64
+#: The first buckets are the shapes' and the evidence's own.
+RESERVED = 128
+EVIDENCE_CUTS = np.array([4, 6, 8, 10, 11, 12, 13, 14, 15, 16, 18, 20, 24])
+EVIDENCE_FIRST = 64
+#: Texts to go that a telling feature occurs in, and features that make up the evidence.
+LEAST_KNOWN, MOST_TELLING = 5, 5
 SHAPE_CUTS = np.array([0.001, 0.02, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8])
 
 
@@ -248,6 +259,27 @@ def fit_scorer(sizes: np.ndarray, feature: np.ndarray, target: np.ndarray, round
     return weights
 
 
+def log_odds(bad: np.ndarray, good: np.ndarray, all_bad: int, all_good: int) -> np.ndarray:
+    """How much likelier a feature is in texts to go than in texts to stay; 0 for rare features and for others."""
+    odds = np.log((bad + 0.5) / (all_bad + 1)) - np.log((good + 0.5) / (all_good + 1))
+    return np.where(bad >= LEAST_KNOWN, np.maximum(odds, 0), 0).astype(np.float32)
+
+
+def top_sums(text: np.ndarray, odds: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the largest ``odds`` of each text."""
+    some = np.flatnonzero(odds > 0)
+    some = some[np.lexsort((-odds[some], text[some]))]
+    text = text[some]
+    rank = np.arange(len(text)) - np.searchsorted(text, text)
+    return np.bincount(text, np.where(rank < MOST_TELLING, odds[some], 0), n)
+
+
+def evidence_features(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) for every cut that a text's evidence (a column for each aspect) reaches."""
+    text, aspect, cut = np.nonzero(sums[:, :, None] >= EVIDENCE_CUTS)
+    return text, EVIDENCE_FIRST + aspect * len(EVIDENCE_CUTS) + cut
+
+
 def people_votes(labels: DataFrame) -> DataFrame:
     """_labelled (doc_id), form and toxicity: the people's votes on each labelled document."""
 
@@ -274,12 +306,12 @@ def pattern_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.groupBy((F.col("pattern") + said).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, seed: int = 7) -> np.ndarray:
-    """The scorer's weights, a row for each aspect. ``max_train`` bounds the sample that fits it."""
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """(the scorer's weights, the features' log odds), a row for each aspect. ``max_train`` bounds the sample that fits them."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = pattern_counts(docs, labels).collect()  # at most 3 ** labellers
     if not rows:
-        return np.zeros((len(ASPECTS), BUCKETS + 1), np.float32)
+        return np.zeros((len(ASPECTS), BUCKETS + 1), np.float32), np.zeros((len(ASPECTS), BUCKETS), np.float32)
     codes = np.array([r.pattern for r in rows])
     counts = np.array([r.n for r in rows])
     patterns = codes[:, None] // PLACES % 3
@@ -315,6 +347,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, seed: int
     feature = features.flatten().to_numpy()
     targets = sample.column("targets").combine_chunks().flatten().to_numpy().reshape(-1, len(ASPECTS))
     del sample, features
+    odds, feature, sizes = with_evidence(feature, sizes, targets)
     # only features of several texts get a weight
     common = np.bincount(feature, minlength=BUCKETS) >= LEAST_TEXTS
     keep = common[feature]
@@ -326,13 +359,34 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, seed: int
     for k in range(len(ASPECTS)):
         weights = fit_scorer(sizes, feature, targets[:, k])
         out[k, places[: len(weights) - 1]], out[k, -1] = weights[:-1], weights[-1]
-    return out
-
-
-def reject_scores(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
+    return out, odds
+
+
+def with_evidence(feature: np.ndarray, sizes: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log odds of every feature by aspect, features with those of the evidence, their sizes) of a sample's texts."""
+    n, aspects = targets.shape
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    odds, sums = np.zeros((aspects, BUCKETS), np.float32), np.zeros((n, aspects))
+    for k in range(aspects):
+        bad, good = targets[:, k] > 0.9, targets[:, k] < 0.1
+        a, b = (np.bincount(feature[x[owner]], minlength=BUCKETS) for x in (bad, good))
+        odds[k] = log_odds(a, b, int(bad.sum()), int(good.sum()))
+        telling = np.flatnonzero(odds[k][feature] > 0)
+        f, o = feature[telling], owner[telling]
+        # a text does not count for itself
+        sums[:, k] = top_sums(o, log_odds(a[f] - bad[o], b[f] - good[o], int(bad.sum()), int(good.sum())), n)
+    text, more = evidence_features(sums)
+    order = np.argsort(np.concatenate([owner, text.astype(np.int32)]), kind="stable")
+    return odds, np.concatenate([feature, more.astype(feature.dtype)])[order], sizes + np.bincount(text, minlength=n)
+
+
+def reject_scores(texts: pa.Array, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The probability that each text should go, by its worse aspect."""
+    weights, odds = model
     text, feature = Signals(texts).features()
-    z = np.max([np.bincount(text, one[feature], len(texts)) + one[-1] for one in weights], axis=0)
+    n = len(texts)
+    more_text, more = evidence_features(np.stack([top_sums(text, one[feature], n) for one in odds], axis=1))
+    z = np.max([np.bincount(text, one[feature], n) + np.bincount(more_text, one[more], n) + one[-1] for one in weights], axis=0)
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
