@@ -7,6 +7,7 @@ import pytest
 import xxhash
 
 from tests.llm.conftest import ODD
+from tripleloom.llm import _session
 from tripleloom.llm.line_dedup import drop_boilerplate, line_report
 from tripleloom.llm.simhash import Forest, correlated_parts, components, near_duplicates, one_of_each, plan_search, probes_of
 from tripleloom.llm.substring_dedup import remove_repeats
@@ -93,8 +94,9 @@ def components_by_brute_force(rows, k, radius):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("radius", [0, 4, 9])
-def test_near_duplicates_equal_brute_force(docs_of, radius):
+@pytest.mark.parametrize("radius,frequent", [(0, 1000), (4, 1000), (9, 1000), (4, 1)])
+def test_near_duplicates_equal_brute_force(docs_of, radius, frequent, monkeypatch):
+    monkeypatch.setattr(_session, "LEAST_HOT", frequent)  # 1: every group of two or more counts as frequent
     rng = random.Random(5)
     rows = texts(9, 60, copies=False)
     for i, t in list(rows):
@@ -263,3 +265,14 @@ def test_texts_under_the_threshold_stay(docs_of):
     sets = dict((i, shingle_set(t)) for i, t in rows)
     apart = [i for i in range(2001, 2400, 2) if likeness(sets[i - 1], sets[i]) < 0.8]
     assert len(apart) > 150 and kept == {0, 2, 4, 5, *range(100, 1600), *range(2000, 2400, 2), *apart}
+
+
+@pytest.mark.parametrize("most", [100_000, 2])
+def test_frequent_keys_are_joined_apart(spark, most, monkeypatch):
+    monkeypatch.setattr(_session, "LEAST_HOT", 3)
+    monkeypatch.setattr(_session, "MOST_HOT", most)
+    keys = [1] * 50 + [2] * 3 + [3] * 4 + [4, 5]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    known = spark.createDataFrame([(k, k * 10, keys.count(k)) for k in (1, 2, 3, 5)], "k long, v long, n long")
+    found = _session.join_counted(rows, known, "k", len(keys)).collect()
+    assert sorted((r.k, r.i, r.v) for r in found) == [(k, i, k * 10) for k, i in sorted((k, i) for i, k in enumerate(keys) if k != 4)]

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleloom.llm._session import durable
+from tripleloom.llm._session import durable, join_counted
 from tripleloom.llm._text import SLICE_BYTES, Words, raw, row_slices
 from tripleloom.llm.likeness import BANDS, LOWER, alike, slice_keys, slice_sets
 
@@ -251,7 +251,7 @@ def links(fps: DataFrame, radius: int, sample_rows: int = 2048, block: int = 409
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the least node reachable over edges (a, b), by star contraction."""
+    """node, root: the least node reachable over edges (a, b), by star contraction; the rows of a hub stay dealt."""
     edges = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
@@ -261,22 +261,25 @@ def components(edges: DataFrame) -> DataFrame:
         state = seen
         # large star: every larger neighbour links to the least of the neighbourhood
         sides = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = sides.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        edges = sides.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = sides.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        edges = join_counted(sides.where("b > a"), least, "a", 2 * seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: every smaller neighbour and the node itself link to the least of them
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        edges = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(least.select("a", F.col("m").alias("b"))).distinct()
+        least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        edges = join_counted(edges, least, "a", 2 * seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(least.select("a", F.col("m").alias("b"))).distinct()
         edges = durable(edges)
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     fps = durable(fingerprints(docs, k, seed))
-    distinct = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
+    distinct = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")))
+    sizes = distinct.agg(F.count(F.lit(1)), F.sum("n")).first()
     roots = components(links(distinct, radius))
-    joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
-    named = joined.join(joined.groupBy("root").agg(F.min("first_doc").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    joined = durable(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_doc", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root")))
+    groups = joined.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = durable(join_counted(joined.select("fp", "rows", "root"), groups, "root", sizes[0]).select("fp", "component_id", F.col("rows").alias("n")))
+    found = join_counted(fps, named, "fp", sizes[1] or 0)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Stands for a null doc_id, after all others.
