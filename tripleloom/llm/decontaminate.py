@@ -132,9 +132,14 @@ class Items:
         return out
 
 
+#: Bytes of test items that are broadcast at a time, beside their number.
+BLOCK_BYTES = 16 << 20
+
+
 def item_blocks(benchmark: DataFrame, block_items: int) -> Iterator[tuple[list[int], list[str]]]:
-    """The test items in blocks of about ``block_items``, one at a time on the driver."""
-    blocks = max(1, math.ceil(benchmark.count() / block_items))
+    """The test items in blocks of about ``block_items`` and ``BLOCK_BYTES`` at most, one at a time on the driver."""
+    items, size = benchmark.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, math.ceil(items / block_items), math.ceil((size or 0) / BLOCK_BYTES))
     for block in range(blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).toArrow()
         yield part.column("item_id").to_pylist(), part.column("text").to_pylist()
