@@ -165,19 +165,20 @@ def fingerprint_texts(docs: DataFrame) -> DataFrame:
             found = [fingerprint((t or "").encode()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def with_successor(docs: DataFrame, most_ranges: int = 4096) -> DataFrame:
+def with_successor(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id, text, place, guest: sorted so that each row's successor in descending doc_id follows it.
 
     ``place`` numbers the ranges; rows with ``guest`` only serve as the successor
-    of a range's last row. ``most_ranges`` bounds what the driver holds.
+    of a range's last row. ``ranges`` is four a shuffle partition by default: the
+    driver holds one number of each.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rank = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    ranges = min(4 * shuffle_partitions(spark), most_ranges)
+    ranges = ranges or 4 * shuffle_partitions(spark)
     cuts = docs.agg(F.percentile_approx(rank, [(i + 1) / ranges for i in range(ranges - 1)] or [0.5], 10 * ranges)).first()[0] or []
     cuts = sorted(set(cuts), reverse=True)
     wide = 64
