@@ -64,6 +64,8 @@ ASPECTS = {
 LABELLERS = tuple(x for names in ASPECTS.values() for x in names)
 PLACES = 3 ** np.arange(len(LABELLERS))
 BUCKETS = 1 << 18
+#: Bytes of text worked on at once: features take a hundred times as much.
+TEXT_BYTES = 1 << 20
 #: Texts of the sample that a feature must occur in.
 LEAST_TEXTS = 3
 SHAPES = ("symbols", "capitals", "repeats", "separators", "function_words", "variety")
@@ -295,7 +297,7 @@ def pattern_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in row_slices(batch):
+            for part in row_slices(batch, max_bytes=TEXT_BYTES):
                 nobody = np.full(part.num_rows, ABSTAIN)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(Signals(part.column("text")).votes(nobody, nobody) @ PLACES)], ["doc_id", "pattern"])
 
@@ -333,7 +335,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, seed: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in row_slices(batch):
+            for part in row_slices(batch, max_bytes=TEXT_BYTES):
                 signals = Signals(part.column("text"))
                 code = signals.votes(*(part.column(a).to_numpy() for a in ASPECTS)) @ PLACES
                 text, feature = signals.features()
@@ -396,7 +398,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in row_slices(batch):
+            for part in row_slices(batch, max_bytes=TEXT_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(reject_scores(part.column("text"), shared.value))], ["doc_id", "reject_score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, reject_score double")
@@ -409,7 +411,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **opti
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in row_slices(batch):
+            for part in row_slices(batch, max_bytes=TEXT_BYTES):
                 yield part.filter(pa.array(reject_scores(part.column("text"), shared.value) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
